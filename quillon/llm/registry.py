@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import ann
+from quillon.llm import ann, html_text, langid, packing
 
 QUERIES = {
     "op1_permutation_index": ann.op1_permutation_index,
+    "op2_html_extraction": html_text.op2_html_extraction,
+    "op3_language_id": langid.op3_language_id,
+    "op5_packing": packing.op5_packing,
 }
 
 ORACLES: dict[str, str] = {}

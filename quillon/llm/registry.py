@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import ann, html_text, langid, packing
+from quillon.llm import ann, html_text, langid, packing, partenum
 
 QUERIES = {
     "op1_permutation_index": ann.op1_permutation_index,
     "op2_html_extraction": html_text.op2_html_extraction,
     "op3_language_id": langid.op3_language_id,
     "op5_packing": packing.op5_packing,
+    "op9_partenum_join": partenum.op9_partenum_join,
 }
 
 ORACLES: dict[str, str] = {}

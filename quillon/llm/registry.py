@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import ann, decontaminate, html_text, langid, packing, partenum
+from quillon.llm import ann, decontaminate, html_text, langid, packing, partenum, pii
 
 QUERIES = {
     "op1_permutation_index": ann.op1_permutation_index,
     "op2_html_extraction": html_text.op2_html_extraction,
     "op3_language_id": langid.op3_language_id,
+    "op4_pii": pii.op4_pii,
     "op5_packing": packing.op5_packing,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op9_partenum_join": partenum.op9_partenum_join,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import ann, decontaminate, html_text, langid, packing, partenum, pii
+from quillon.llm import ann, decontaminate, html_text, langid, packing, partenum, pii, urls
 
 QUERIES = {
     "op1_permutation_index": ann.op1_permutation_index,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_packing": packing.op5_packing,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_url_filters": urls.op7_url_filters,
     "op9_partenum_join": partenum.op9_partenum_join,
 }
 

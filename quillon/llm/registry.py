@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import ann, decontaminate, html_text, langid, packing, partenum, pii, urls
+from quillon.llm import ann, decontaminate, html_text, langid, packing, partenum, pii, toxicity, urls
 
 QUERIES = {
     "op1_permutation_index": ann.op1_permutation_index,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_url_filters": urls.op7_url_filters,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_partenum_join": partenum.op9_partenum_join,
 }
 

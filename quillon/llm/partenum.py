@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import durable, table
@@ -331,5 +331,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return some.unionByName(none)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, columns as they are, of which one stays of each component: its
+    smallest doc_id, and of rows repeated under that doc_id (or under none) the one
+    whose text has the smallest hash, then any. Rows without words have nothing to
+    be compared by; each stays, once for each doc_id."""
+    columns = docs.columns
+    found = near_duplicates(docs.select("doc_id", "text"))
+    names = durable(found.where("doc_id is null or doc_id = component_id or component_id is null").select(F.col("doc_id").cast("long").alias("_kept")).distinct(), "partenum-kept")
+    stays = docs.join(names, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    if stays.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return stays.select(*columns)
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return stays.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*columns)
+
+
 def op9_partenum_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

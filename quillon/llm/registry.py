@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import ann, decontaminate, html_text, langid, packing, partenum, pii, toxicity, urls
+from quillon.llm import ann, decontaminate, html_text, langid, packing, partenum, pii, quality, toxicity, urls
 
 QUERIES = {
     "op1_permutation_index": ann.op1_permutation_index,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_url_filters": urls.op7_url_filters,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_partenum_join": partenum.op9_partenum_join,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES: dict[str, str] = {

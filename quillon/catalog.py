@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillon.queries import decisions  # noqa: F401  registers
+from quillon.queries.registry import ORACLES, QUERIES  # noqa: F401

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillon.queries import decisions, evaluation  # noqa: F401  they register
+from quillon.queries import decisions, evaluation, relations  # noqa: F401  they register
 from quillon.queries.registry import ORACLES, QUERIES  # noqa: F401

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import checkpointed
+
 
 def union_all(*parts: tuple[str, DataFrame]) -> DataFrame:
     """Rows of every part with its origin, columns by name."""
@@ -41,8 +43,8 @@ def conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
 def merged_groups(rows: DataFrame, key: str, group: str, checkpoint=None) -> DataFrame:
     """group, root: groups that share an input key become one, named by their smallest id.
     Labels shrink by a join and a minimum until none changes; checkpoint (a frame to
-    the same frame, cut from its lineage) runs each round, by default DataFrame.checkpoint."""
-    cut = checkpoint or (lambda df: df.checkpoint())
+    the same frame, cut from its lineage) runs each round, by default into the session's checkpoint folder."""
+    cut = checkpoint or checkpointed
     member = rows.select(F.col(group).alias("g"), F.col(key).alias("k")).distinct()
     links = cut(member)
     now = cut(member.select("g").distinct().withColumn("root", F.col("g")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import checkpointed
+
 
 class PlanError(ValueError):
     pass
@@ -41,10 +43,10 @@ def levels(nodes: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
 
 def levels_by_join(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
     """The same for graphs that are tables: the longest path by joins round after round; more rounds than `most` mean a cycle."""
-    now = nodes.select("node", F.lit(0).alias("level")).checkpoint()
+    now = checkpointed(nodes.select("node", F.lit(0).alias("level")))
     for _ in range(most):
         pushed = edges.join(now, F.col("producer") == F.col("node")).groupBy("consumer").agg((F.max("level") + 1).alias("pushed"))
-        new = now.join(pushed, F.col("node") == F.col("consumer"), "left").select("node", F.greatest("level", F.coalesce("pushed", F.lit(0))).alias("level")).checkpoint()
+        new = checkpointed(now.join(pushed, F.col("node") == F.col("consumer"), "left").select("node", F.greatest("level", F.coalesce("pushed", F.lit(0))).alias("level")))
         if new.exceptAll(now).isEmpty():
             return new
         now = new

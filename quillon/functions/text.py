@@ -117,7 +117,7 @@ def probabilities_of(json_map: Column, support: list[str]) -> Column:
 
 
 def fixed4(x: Column) -> Column:
-    return F.format_number(x, "0.0000")
+    return F.format_string("%.4f", x)
 
 
 def short_id(text: Column, length: int = 12) -> Column:
@@ -133,6 +133,6 @@ def rfc3339(text: Column) -> Column:
 def bytes_text(n: Column) -> Column:
     """1.5 KiB and the like."""
     def unit(power: int, name: str) -> Column:
-        return F.concat(F.format_number(n / (1024**power), "0.0"), F.lit(f" {name}"))
+        return F.concat(F.format_string("%.1f", n / F.lit(float(1024**power))), F.lit(f" {name}"))
 
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1, "KiB")).when(n < 1024**3, unit(2, "MiB")).otherwise(unit(3, "GiB"))

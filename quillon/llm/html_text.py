@@ -38,6 +38,8 @@ MARKS = frozenset(
     "feedback footer form hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related "
     "replies reply responses search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget dialog alert alertdialog gdpr discussion tags".split()
 )
+#: A header's mark is furniture unless one of these stands with it.
+HEADER_OF_TEXT = frozenset("article content entry post story section".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Standard deviation of the smoothing in lines, threshold in standard deviations of the ratios.
@@ -57,8 +59,10 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_region: bool)
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and re.search(r"display\s*:\s*none", value, re.I)):
             return True
-        if name in ("class", "id", "role") and value and not MARKS.isdisjoint(SPLIT.split(CAMEL.sub("-", value).lower())):
-            return True
+        if name in ("class", "id", "role") and value:
+            marks = SPLIT.split(CAMEL.sub("-", value).lower())
+            if not MARKS.isdisjoint(marks) or ("header" in marks and not in_region and HEADER_OF_TEXT.isdisjoint(marks)):
+                return True
     return False
 
 

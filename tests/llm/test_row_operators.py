@@ -19,6 +19,7 @@ def test_extraction():
         ["Title & more", "A long paragraph with a good deal of text, and emphasis, so it counts.", "first", "second", "Short.", "Another long paragraph that goes on for some time to be sure of its ratio."]
     )
     assert html_text.main_text("<nav>open menu<article><p>Text of the article.</article>") == "Text of the article."
+    assert html_text.main_text('<div id="header"><p>Site name</p></div><div class="post-header"><h2>Title</h2></div><p>Words of the text itself.</p>') == "Title\nWords of the text itself."
     for empty in (None, "", "<nav>menu</nav>", "<script>x</script>"):
         assert html_text.main_text(empty) == ""
     assert html_text.main_text("plain &lt;text&gt;") == "plain <text>"

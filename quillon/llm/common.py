@@ -32,6 +32,28 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids, signatures and the like up to which a side is broadcast; beyond, the same join goes by key.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast if its counted rows are within the bound."""
+    return F.broadcast(df) if rows <= bound else df
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers live on between tasks, beside a JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def crc32_mod(column: Column, divisor: int) -> Column:
     """crc32 of the value as text, modulo divisor; a null counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)

@@ -20,13 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, table
+from quillon.llm.common import durable, small, table
 from quillon.llm.text import SHINGLE, words
 
 #: Least share of an item's shingles, in hundredths.
 CONTAINED = 75
-#: Rows of signatures and of candidates up to which they are broadcast.
-BROADCAST_ROWS = 500_000
 
 
 def hashes(ws: Column) -> Column:
@@ -43,10 +41,6 @@ def shingles(ws: Column) -> Column:
     return F.array_distinct(F.when(F.size(ws) > 0, each).otherwise(F.array().cast("array<string>")))
 
 
-def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if rows <= bound else df
-
-
 def signatures(items: DataFrame, contained: int = CONTAINED) -> DataFrame:
     """(item_id, n, size_class, h): the bottom-k hashes of each item."""
     sets = items.select("item_id", F.array_distinct(hashes(words(F.col("text")))).alias("hs")).withColumn("n", F.size("hs")).where("n > 0")
@@ -73,9 +67,12 @@ def leaks(docs: DataFrame, items: DataFrame, contained: int = CONTAINED) -> Data
     found = durable(met.select("doc_id", "item_id").distinct(), "leak-candidates")
     n_found = found.count()
     texts = items.select("item_id", shingles(words(F.col("text"))).alias("item_set"))
-    asked = found.withColumnRenamed("item_id", "i").join(small(texts, n_signed), F.col("i").eqNullSafe(F.col("item_id")))
-    asked = asked.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("item_id", "item_set")).alias("items"))
-    held = slim.join(small(asked, n_found), F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", shingles(F.col("ws")).alias("doc_set"), F.explode("items").alias("item"))
+    # only ids are broadcast; the few documents that stay then meet their candidates by key
+    ids = found.select(F.col("doc_id").alias("d")).distinct()
+    chosen = slim.join(small(ids, n_found), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").withColumn("doc_set", shingles(F.col("ws")))
+    asked = found.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
+    held = chosen.select("doc_id", "doc_set").join(asked, F.col("doc_id").eqNullSafe(F.col("d"))).join(small(texts, n_signed, 50_000), F.col("i").eqNullSafe(F.col("item_id")))
+    held = held.select("doc_id", "doc_set", F.struct("item_id", "item_set").alias("item"))
     counted = held.select("doc_id", F.col("item.item_id").alias("item_id"), F.size("item.item_set").cast("long").alias("n_item"), F.size(F.array_intersect("item.item_set", "doc_set")).cast("long").alias("shared"))
     sure = counted.where(F.col("shared") * 100 >= F.col("n_item") * contained)
     best = sure.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item", "shared"), "shared").alias("m"))

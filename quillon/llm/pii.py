@@ -19,8 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, table
-from quillon.llm.decontaminate import small
+from quillon.llm.common import durable, small, table
 
 #: The base patterns, in the order in which kinds are listed. Each is the contract's pattern with
 #: possessive groups (nothing that they give back could make a match) and a start that can't lie inside
@@ -39,15 +38,16 @@ CONTEXT_WORDS, CONTEXT_CHARS, SUPPORT, ALPHA, ALL_OF_IT = 6, 160, 3, 0.85, 0.98
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def located(text: Column, pattern: str, kind: str) -> Column:
-    """Every match of a pattern with its place in code points."""
+def located(text: Column, pattern: str, kind: str, keep=None) -> Column:
+    """Every match of a pattern with its place in code points; only those for which keep(value) holds."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def add(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["0"])
         end = start + F.length(pair["1"])
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["1"].alias("value"))).alias("spans"))
+        grown = F.array_append(acc["spans"], F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["1"].alias("value")))
+        return F.struct(end.alias("at"), (grown if keep is None else F.when(keep(pair["1"]), grown).otherwise(acc["spans"])).alias("spans"))
 
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("0"), found.alias("1"))
     return F.when(F.size(found) > 0, F.aggregate(pairs, empty, add, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
@@ -106,15 +106,19 @@ def disclosing(spotted: DataFrame, support: int = SUPPORT, alpha: float = ALPHA)
     ).select("doc_id", "entity", F.array_distinct(F.filter(F.concat("l", "r"), lambda t: F.length(t) > 2)).alias("terms"))
     around = durable(around.withColumn("context", F.xxhash64("terms")), "pii-contexts")
     known = around.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_e"))
-    pairs = around.select("entity", "context", "doc_id", F.explode("terms").alias("term")).groupBy("entity", "term")
-    pairs = durable(pairs.agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("n_et")).where(F.col("contexts") >= support), "pii-pairs")
+    each = around.select("entity", "context", "doc_id", F.explode("terms").alias("term"))
+    # n(t) is at least the number of documents whose contexts hold t: a term that is too common even so can't reach alpha
+    near = each.groupBy("term").agg(F.count_distinct("doc_id").alias("n_near"))
+    pairs = each.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("n_et")).where(F.col("contexts") >= support)
+    most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), 1 - alpha)
+    pairs = durable(pairs.join(known, "entity").join(near, "term").where(F.col("n_near") <= most * 1.000001), "pii-pairs")
     asked = durable(pairs.select("term").distinct(), "pii-terms")
     n_asked = asked.count()
     if not n_asked:
         return asked.withColumn("share", F.lit(0.0))
     words = spotted.select(F.explode(F.array_distinct(lower_terms(F.col("text")))).alias("term"))
     df = words.join(small(asked, n_asked), "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    measured = pairs.join(df, "term").join(known, "entity")
+    measured = pairs.join(df, "term")
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     shares = measured.where(ic > 0).groupBy("term").agg(F.max(pmi / ic).alias("share"))
@@ -139,7 +143,7 @@ def judged(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> Dat
     per_doc = per_doc.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("share") >= ALL_OF_IT, F.col("term"))).alias("removed"))
     per_doc = durable(per_doc, "pii-documents")
     out = out.join(small(per_doc, per_doc.count()), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    extra = F.filter(located(F.col("_text"), TERM, "term"), lambda s: F.array_contains(F.col("_terms"), F.lower(s["value"])))
+    extra = located(F.col("_text"), TERM, "term", lambda v: F.array_contains(F.col("_terms"), F.lower(v)))
     outside = F.filter(extra, lambda s: ~F.exists(F.col("_base"), lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
     spans = F.concat(F.col("_base"), F.when(F.col("_terms").isNull(), F.array().cast(SPAN)).otherwise(outside))
     return out.withColumn("spans", spans).withColumn("removed", F.coalesce("removed", F.array().cast("array<string>"))).drop("_terms", "_id")

@@ -172,7 +172,7 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) ->
     columns = docs.columns
     out = judged(docs, support, alpha).withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("_text"), F.col("spans"), F.col("removed"))))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)
 
 

@@ -243,7 +243,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(1, n))))
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(drawn, "doc_id").select("text", "toxic")
+    # about `rows` ids, by construction: sent to where documents are read, so that no text is shuffled
+    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS):

@@ -165,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     pool = docs.where(F.col("doc_id").isNotNull() & (part("pool") < int(million * min(1.0, pool_rows / max(1, all_docs))))).select("doc_id").distinct()
     pool = pool.join(known, "doc_id", "left_anti").withColumn("quality", F.lit(-1))
     chosen = asked.unionByName(pool)
-    rows = docs.drop("quality").join(chosen, "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)))
+    # about labelled_rows + pool_rows ids, by construction: sent to where documents are read, so that no text is shuffled
+    rows = docs.drop("quality").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)))
     fields = [T.StructField(k, T.ArrayType(T.DoubleType())) for k in ("x1", "x2")]
     as_lists = lambda x1, x2: [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (x1, x2)]
     got = with_views(rows, ["doc_id", "quality", "fold"], fields, as_lists).orderBy("doc_id").collect()

@@ -4,14 +4,17 @@ Sets are dealt to size bands whose ends differ by no more than the similarity
 allows, so two similar sets lie in one band or in neighbours. For sets x and y
 of similarity g or more the symmetric difference is at most
 k = (|x| + |y|) (1 - g) / (1 + g). The feature domain is partitioned by hash
-into n > k parts, n fixed per band; at most k parts can differ, so x and y agree
-on n - k parts or more, and of the enumerated subsets of parts it is enough that
-each set signs its k + 1 parts that come first in one global order: two sets that
-agree on n - k parts share a signature (a part's number and content). The order puts
-parts that are frequent in the corpus last, by a bounded table of the heaviest
-signatures, so what many unrelated documents share (a common passage, an empty
-part) signs only sets that have little else. Any order gives whole results; the
-table only makes the groups small.
+into n parts, about 2 k and fixed per band; at most k parts can differ, so x and
+y agree on n - k parts or more: their signatures (a part's number and content)
+are the same there.
+
+First all signatures of non-empty parts are counted. A set of whose parts fewer
+than n - k are empty or have a signature that another set has too can't be
+similar to any other set, and leaves; documents that share no more than a
+passage go here. Of the enumerated subsets of parts it is then enough that each
+remaining set signs its k + 1 parts that come first in one order, parts with the
+rarest content before others and empty parts last: sets that agree on n - k parts
+share one of these signatures, and what much else shares makes no candidates.
 
 A shared signature makes candidates, which are verified on whole sets, exactly:
 first each member of a group with the group's smallest (so a group of g copies
@@ -20,8 +23,8 @@ by that, every pair between different components, in blocks.
 
 Equal sets count as one class throughout. Signatures travel as packed arrays, a
 few rows for each input batch, and each range of signatures is solved by one
-sort. No link, component or fingerprint reaches the driver; what is broadcast
-are the heavy table and a Bloom filter, both of fixed size.
+sort. No link, component or fingerprint reaches the driver; what is broadcast is
+a Bloom filter of fixed size.
 """
 
 from __future__ import annotations
@@ -34,13 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, table
+from quillon.llm.common import durable, release, small, table
 from quillon.llm.text import MIX, mixed, shingle_sets
 
 #: Least similarity, as a fraction.
 SIMILAR = (75, 100)
-#: Entries of the heavy table; a task reports a signature from this count on, and so many at most.
-HEAVY, REPORTED_FROM, REPORTED = 65_536, 8, 8_192
 #: Signatures in one range, about; documents handled at once; words (of 64 bits) of the Bloom filter; members compared at once.
 RANGE_SIGNATURES, BATCH, BLOOM_WORDS, CHUNK = 1_000_000, 512, 65_536, 512
 
@@ -55,14 +56,21 @@ def bands(most: int, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def signatures(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray] | None, similar: tuple[int, int] = SIMILAR):
-    """(set number, signature) of sets given by their elements, sorted by set.
-    heavy: sorted signatures and their counts; None: all signatures of non-empty parts, to count them."""
+def signatures(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, empty: bool = False, similar: tuple[int, int] = SIMILAR):
+    """(set number, step, signature) of the non-empty parts of sets given by their elements, and [2, sets] what each needs.
+
+    Step 0 is the band of the set itself, where it meets sets of its own band and
+    smaller ones; step 1 the next band, where it meets larger ones. What a set
+    needs: so many of its non-empty parts must agree with a partner's; -1 where
+    empty ones may do, 0 where it has no place. empty: the empty parts of the sets
+    for which they may do are signed too.
+    """
     a, c = similar
     tops = bands(int(sizes.max(initial=1)), similar)
     own = np.searchsorted(tops, sizes, side="left")
-    got_set, got_sig = [], []
-    for step in (0, 1):  # the band of the larger set: the own one, or the next
+    got_set, got_step, got_sig = [], [], []
+    need = np.zeros((2, len(sizes)), dtype=np.int64)
+    for step in (0, 1):
         band = own + step
         largest = np.minimum(tops[band], sizes * c // a)  # the largest partner there
         asked = (sizes > 0) & (largest > tops[band - 1] if step else sizes > 0)
@@ -82,26 +90,18 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, heavy:
             np.add.at(content, at, mixed(h + MIX))
             full = np.zeros(base[-1], dtype=bool)
             full[at] = True
+            filled = np.add.reduceat(full, base[:-1], dtype=np.int64)
+            need[step, sets] = np.where(filled > differ_of, filled - differ_of, -1)  # n - k agree, of which its empty ones at most
             who = np.repeat(np.arange(len(parts_of)), parts_of)
-            place = (np.arange(base[-1]) - base[who]).astype(np.uint64)
-            sig = mixed(content + mixed(place * MIX + band_of[who].astype(np.uint64)))
-        if heavy is None:
-            got_set.append(sets[who[full]])
-            got_sig.append(sig[full])
-            continue
-        rank = np.zeros(len(sig), dtype=np.int64)
-        if len(heavy[0]):
-            near = np.minimum(np.searchsorted(heavy[0], sig), len(heavy[0]) - 1)
-            rank = np.where(heavy[0][near] == sig, heavy[1][near], 0)
-        rank[~full] = np.iinfo(np.int64).max
-        order = np.lexsort((sig, rank, who))
-        first = np.arange(len(order)) - base[who[order]] <= differ_of[who[order]]
-        chosen = order[first]
+            chosen = np.flatnonzero(full | (need[step, sets] < 0)[who] if empty else full)
+            place = (chosen - base[who[chosen]]).astype(np.uint64)
+            sig = mixed(content[chosen] + mixed(place * MIX + band_of[who[chosen]].astype(np.uint64)))
         got_set.append(sets[who[chosen]])
-        got_sig.append(sig[chosen])
+        got_step.append(np.full(len(chosen), step, dtype=np.int64))
+        got_sig.append(sig)
     if not got_set:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(got_set), np.concatenate(got_sig)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), need
+    return np.concatenate(got_set), np.concatenate(got_step), np.concatenate(got_sig), need
 
 
 def sets_of(texts: pa.Array):
@@ -126,70 +126,152 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for lo in range(0, whole.num_rows, BATCH):
             yield whole.slice(lo, BATCH)
+    release()
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """One row per document (its size and class) and, kind 1, the signatures that are frequent in a task."""
+    """One row per document: its size, its class, and what its class needs in either step."""
 
     def run(batches):
-        counts: dict[int, int] = {}
-        names = ["kind", "doc_id", "n", "key", "key2"]
         for b in slices(batches):
             owner, hashes, sizes = sets_of(b.column(1))
             k1, k2 = class_keys(owner, hashes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), b.column(0), pa.array(sizes), pa.array(k1), pa.array(k2)], names=names)
-            once = np.unique(k1, return_index=True)[1]  # copies don't make a signature frequent
-            keep = np.isin(owner, once)
-            _, sig = signatures(owner[keep], hashes[keep], sizes, None)
-            values, n = np.unique(sig, return_counts=True)
-            for v, m in zip(values[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-                counts[v] = counts.get(v, 0) + m
-            if len(counts) > 50 * REPORTED:
-                counts = dict(sorted(counts.items(), key=lambda x: -x[1])[: 5 * REPORTED])
-        top = sorted(((v, m) for v, m in counts.items() if m >= REPORTED_FROM), key=lambda x: (-x[1], x[0]))[:REPORTED]
-        if top:
-            zero = pa.array(np.zeros(len(top), np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(top), np.int32)), zero, pa.array(np.array([m for _, m in top], np.int64)), pa.array(np.array([v for v, _ in top], np.uint64).view(np.int64)), zero], names=names
-            )
-
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, key long, key2 long")
-
-
-def posted(docs: DataFrame, heavy, ranges: int) -> DataFrame:
-    """(range, packed keys, run lengths, low signature bits): each set's signatures, dealt by their high bits."""
-    shift = np.uint64(64 - int(ranges).bit_length() + 1)
+            *_, need = signatures(owner, hashes, sizes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(k1), pa.array(k2), pa.array(need[0]), pa.array(need[1])], names=["doc_id", "n", "key", "key2", "need0", "need1"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, key long, key2 long, need0 long, need1 long")
+
+
+def packed(keys: np.ndarray, who: np.ndarray, step: np.ndarray, sig: np.ndarray, need: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Signatures dealt by their high bits: per range the sets' keys (the last bit is the step), what they need, run lengths and low signature bits."""
+    shift = np.uint64(64 - (int(ranges).bit_length() - 1))
+    at = (sig >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(sig), np.int64)
+    low = (sig >> (shift - np.uint64(32))).astype(np.uint32)
+    order = np.lexsort((step, who, at))
+    at, who, step, low = at[order], who[order], step[order], low[order]
+    new = (at[1:] != at[:-1]) | (who[1:] != who[:-1]) | (step[1:] != step[:-1])
+    starts = np.flatnonzero(np.concatenate([[True], new]))
+    runs, run_at, run_key = np.diff(np.concatenate([starts, [len(at)]])), at[starts], with_step(keys[who[starts]], step[starts])
+    run_need = need[step[starts], who[starts]].astype(np.int32)
+    edges = np.flatnonzero(np.concatenate([[True], run_at[1:] != run_at[:-1], [True]]))
+    sums = np.concatenate([[0], np.cumsum(runs)])
+    rows = [(int(run_at[i]), run_key[i:j].tobytes(), run_need[i:j].tobytes(), runs[i:j].astype(np.uint32).tobytes(), low[sums[i] : sums[j]].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3, 4))], names=["p", "keys", "need", "runs", "low"])
+
+
+PACKED = "p int, keys binary, need binary, runs binary, low binary"
+
+
+def with_step(keys: np.ndarray, step: np.ndarray) -> np.ndarray:
+    return (keys & ~np.int64(1)) | step
+
+
+def posted(docs: DataFrame, ranges: int) -> DataFrame:
+    """All signatures of all documents; copies within a batch once."""
 
     def run(batches):
         for b in slices(batches):
             owner, hashes, sizes = sets_of(b.column(1))
             keys, _ = class_keys(owner, hashes, sizes)
-            once = np.unique(keys, return_index=True)[1]
-            keep = np.isin(owner, once)
-            who, sig = signatures(owner[keep], hashes[keep], np.where(np.isin(np.arange(len(sizes)), once), sizes, 0), heavy)
-            if not len(who):
-                continue
-            at = (sig >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(sig), np.int64)
-            low = (sig >> (shift - np.uint64(32))).astype(np.uint32)
-            order = np.lexsort((who, at))
-            at, who, low = at[order], who[order], low[order]
-            starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (who[1:] != who[:-1])]))
-            runs, run_at, run_who = np.diff(np.concatenate([starts, [len(at)]])), at[starts], who[starts]
-            edges = np.flatnonzero(np.concatenate([[True], run_at[1:] != run_at[:-1], [True]]))
-            sums = np.concatenate([[0], np.cumsum(runs)])
-            rows = [(int(run_at[i]), keys[run_who[i:j]].tobytes(), runs[i:j].astype(np.uint16).tobytes(), low[sums[i] : sums[j]].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3))], names=["p", "keys", "runs", "low"])
-
-    return docs.mapInArrow(run, "p int, keys binary, runs binary, low binary")
+            once = np.zeros(len(sizes), dtype=bool)
+            once[np.unique(keys, return_index=True)[1]] = True
+            keep = once[owner]
+            who, step, sig, need = signatures(owner[keep], hashes[keep], np.where(once, sizes, 0))
+            if len(who):
+                yield packed(keys, who, step, sig, need, ranges)
 
+    return docs.mapInArrow(run, PACKED)
 
-def grouped(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: kind 0, candidate pairs (the smallest of a group, another); kind 1, the members of groups of three or more."""
-    keys = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(r, np.uint16)) for k, r in zip(frame["keys"], frame["runs"], strict=True)])
+
+def signed(sets: DataFrame, ranges: int) -> DataFrame:
+    """The signatures of the sets that are left (key, elements)."""
+
+    def run(batches):
+        for b in slices(batches):
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
+            sizes = np.array([len(x) for x in parts], dtype=np.int64)
+            who, step, sig, need = signatures(np.repeat(np.arange(len(parts)), sizes), np.concatenate(parts), sizes, empty=True)
+            yield packed(b.column(0).to_numpy(), who, step, sig, need, ranges)
+
+    return sets.select("key", "elements").mapInArrow(run, PACKED)
+
+
+def counted(buckets: int):
+    """Of one range of the sets that are left: each signature that several sets share, with how many, dealt by set."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, low, need = unpacked(frame, with_need=True)
+        starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        n = np.diff(np.concatenate([starts, [len(low)]]))
+        n = np.repeat(n, n)
+        many = n > 1
+        keys, need, n = keys[many], need[many], n[many]
+        sig = (np.int64(frame["p"].iloc[0]) << np.int64(32)) | low[many].astype(np.int64)
+        at = (mixed((keys >> np.int64(1)).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[order], np.arange(buckets + 1))
+        rows = [(b, *(x[order[i:j]].tobytes() for x in (keys, need, sig, n))) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+        return pd.DataFrame(rows, columns=["bucket", "keys", "need", "sig", "n"])
+
+    return run
+
+
+COUNTED = "bucket int, keys binary, need binary, sig binary, n binary"
+
+
+def rarest(buckets: int):
+    """Of one bucket of sets: each set's k + 1 rarest signatures, dealt by signature. Signatures that no other set
+    has come first of all and need not travel: of r shared ones a set that needs m signs the r - m + 1 rarest."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, sig, n = (np.concatenate([np.frombuffer(x, np.int64) for x in frame[c]]) for c in ("keys", "sig", "n"))
+        need = np.concatenate([np.frombuffer(x, np.int32) for x in frame["need"]]).astype(np.int64)
+        order = np.lexsort((sig, n, keys))
+        keys, sig, need = keys[order], sig[order], need[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        held = np.diff(np.concatenate([starts, [len(keys)]]))
+        place = np.arange(len(keys)) - np.repeat(starts, held)
+        first = (need < 0) | (place <= np.repeat(held, held) - need)
+        keys, sig = keys[first] & ~np.int64(1), sig[first]
+        at = (mixed(sig.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[order], np.arange(buckets + 1))
+        rows = [(b, keys[order[i:j]].tobytes(), sig[order[i:j]].tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+        return pd.DataFrame(rows, columns=["p", "keys", "sig"])
+
+    return run
+
+
+def unpacked(frame: pd.DataFrame, with_need: bool = False):
+    """(keys with step, low bits, and maybe needs) of one range, sorted by signature then key, each once."""
+    runs = [np.frombuffer(r, np.uint32) for r in frame["runs"]]
+    keys = np.concatenate([np.repeat(np.frombuffer(k, np.int64), r) for k, r in zip(frame["keys"], runs, strict=True)])
     low = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["low"]])
     order = np.lexsort((keys, low))
     keys, low = keys[order], low[order]
     new = np.concatenate([[True], (low[1:] != low[:-1]) | (keys[1:] != keys[:-1])])
+    if not with_need:
+        return keys[new], low[new]
+    need = np.concatenate([np.repeat(np.frombuffer(k, np.int32), r) for k, r in zip(frame["need"], runs, strict=True)])[order]
+    return keys[new], low[new], need[new]
+
+
+def repeated(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one range: how many signatures of each set (and step) another set has too."""
+    release()  # what the range before has left
+    keys, low = unpacked(frame)
+    same = low[1:] == low[:-1]
+    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    found, n = np.unique(keys[shared], return_counts=True)
+    return pd.DataFrame({"key": found, "n": n.astype(np.int64)})
+
+
+def grouped(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket of signatures: kind 0, candidate pairs (the smallest of a group, another); kind 1, the members of groups of three or more."""
+    keys, low = (np.concatenate([np.frombuffer(x, np.int64) for x in frame[c]]) for c in ("keys", "sig"))
+    order = np.lexsort((keys, low))
+    keys, low = keys[order], low[order]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (keys[1:] != keys[:-1])])
     keys, low = keys[new], low[new]
     starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(low)]]))
@@ -219,7 +301,8 @@ def bloom_of(ids: DataFrame, column: str) -> np.ndarray | None:
 
 
 def sets_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, elements): the sets of the classes whose first documents are wanted (key, rep)."""
+    """(key, elements): the sets of the classes whose first documents are wanted (key, rep). Documents that
+    can't be wanted are left out before the join by a Bloom filter of fixed size, while it is sparse enough."""
     bloom = bloom_of(wanted, "rep")
 
     def run(batches):
@@ -290,6 +373,16 @@ def cross_pairs(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return one.select(F.least("l.b", "r.b").alias("a"), F.greatest("l.b", "r.b").alias("b")).distinct()
 
 
+def even(key: str):
+    """Keys of classes leave their last bit to the step."""
+    return F.col(key).bitwiseAND(F.lit(-2))
+
+
+def ranges_for(signed_: float) -> int:
+    """A power of two of ranges of about RANGE_SIGNATURES."""
+    return 1 << max(4, int(signed_ / RANGE_SIGNATURES).bit_length())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -299,22 +392,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     never a component's name. An empty table gives an empty result; no column but
     doc_id and text is read.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = durable(described(slim), "partenum-documents")
-    rows = facts.where("kind = 0")
-    heavy_rows = facts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY).collect()
-    values = np.array([r["key"] for r in heavy_rows], np.int64).view(np.uint64)
-    order = np.argsort(values)
-    heavy = (values[order], np.array([r["n"] for r in heavy_rows], np.int64)[order])
+    rows = durable(described(slim), "partenum-documents")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    ranges = 1 << max(4, int(total * 0.65 / RANGE_SIGNATURES).bit_length())
-    found = durable(posted(slim, heavy, ranges).groupBy("p").applyInPandas(grouped, "kind int, a long, b long"), "partenum-groups")
+    classes = durable(rows.where("n > 0").groupBy(even("key").alias("key"), "key2").agg(F.min("doc_id").alias("rep"), F.max("need0").alias("need0"), F.max("need1").alias("need1")), "partenum-classes")
+    counts = posted(slim, ranges_for(total * 1.2)).groupBy("p").applyInPandas(repeated, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy(even("key").alias("key")).agg(*[F.sum(F.when(F.pmod("key", F.lit(2)) == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in (0, 1)])
+    asked = classes.where("rep is not null").join(counts, "key", "left")
+    left = asked.where("(need0 <> 0 and coalesce(n0, 0) >= need0) or (need1 <> 0 and coalesce(n1, 0) >= need1)")
+    left = durable(left.groupBy("key").agg(F.min("rep").alias("rep")), "partenum-left")
+    sets = durable(sets_for(slim, left), "partenum-sets")
+    elements = sets.agg(F.sum(F.octet_length("elements"))).first()[0] or 0
+    ranges = ranges_for(elements / 8 * 1.2)
+    shared = signed(sets, ranges).groupBy("p").applyInPandas(counted(ranges), COUNTED)
+    chosen = shared.groupBy("bucket").applyInPandas(rarest(ranges), "p int, keys binary, sig binary")
+    found = durable(chosen.groupBy("p").applyInPandas(grouped, "kind int, a long, b long"), "partenum-groups")
     pairs = found.where("kind = 0").select("a", "b").distinct()
-    classes = durable(rows.where("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep")), "partenum-classes")
-    named = classes.where("rep is not null").groupBy("key").agg(F.min("rep").alias("rep"))
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(named, "key"), "partenum-wanted")
-    sets = durable(sets_for(slim, wanted), "partenum-sets")
     links = durable(verified(pairs, sets), "partenum-links")
     roots = components(links)
     groups = found.where("kind = 1").select("a", "b").distinct()
@@ -323,10 +416,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = durable(verified(rest, sets), "partenum-links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
-    of_class = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    of_class = classes.select("key", "key2", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
     named_classes = of_class.join(names, "root").select("key", "key2", "component_id")
-    some = rows.where("n > 0").join(named_classes, ["key", "key2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    some = rows.where("n > 0").withColumn("key", even("key")).join(named_classes, ["key", "key2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
 
@@ -338,8 +431,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     be compared by; each stays, once for each doc_id."""
     columns = docs.columns
     found = near_duplicates(docs.select("doc_id", "text"))
-    names = durable(found.where("doc_id is null or doc_id = component_id or component_id is null").select(F.col("doc_id").cast("long").alias("_kept")).distinct(), "partenum-kept")
-    stays = docs.join(names, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    gone = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("all")).where("all").select("_gone")
+    gone = durable(gone, "partenum-gone")
+    stays = docs.join(small(gone, gone.count()), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     if stays.groupBy("doc_id").count().where("count > 1").isEmpty():
         return stays.select(*columns)
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

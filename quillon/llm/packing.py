@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, table
+from quillon.llm.common import durable, release, table
 
 WINDOW, END_ID = 4096, 2
 #: Queues at most; the sources of a table with more are dealt to them by hash.
 MAX_QUEUES = 1024
 #: Rows of (partition, queue) sums up to which they are broadcast; beyond, they are joined by key.
 SUMS_BROADCAST = 200_000
-#: Words remembered by a tokenizing task.
-CACHE_WORDS = 400_000
+#: Words, and parts of words, remembered by a tokenizing worker: so many of either, in each of two generations.
+CACHE_WORDS = 250_000
 
 
 class WordIds:
@@ -68,6 +68,8 @@ class WordIds:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -80,15 +82,26 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        split: dict[str, list[str]] = {}
+        split: dict[str, tuple[str, ...] | list[str]] = {}
         for word in words:
-            if "\u03a3" in word or any(t in word for t in self.special):
+            low = word.lower()
+            if low.isascii():
+                if low.isalpha():
+                    split[word] = (low,)
+                    continue
+                if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                    split[word] = (low[:-1], low[-1])
+                    continue
+            if "\u03a3" in word or ("<" in word and any(t in word for t in self.special)):
                 self.words[word] = self.whole(word)
             else:
-                split[word] = self.parts.findall(unicodedata.normalize("NFC", word).lower())
-        new = list({p for ps in split.values() for p in ps if p not in self.known})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
+                split[word] = self.parts.findall(low if low.isascii() else unicodedata.normalize("NFC", word).lower())
+        parts = {p for ps in split.values() for p in ps if p not in self.known}
+        for p in parts.intersection(self.known_before):
+            self.known[p] = self.known_before[p]
+        new = list(parts.difference(self.known))
+        for lo in range(0, len(new), 16384):
+            part = new[lo : lo + 16384]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part):
@@ -99,19 +112,23 @@ class WordIds:
             else:
                 for p in part:
                     self.known[p] = self.whole(p)
+        known, kept = self.known, self.words
         for word, ps in split.items():
-            self.words[word] = b"".join([self.known[p] for p in ps])
+            kept[word] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        if len(self.words) > CACHE_WORDS:  # what is used again is taken over from the generation before
+            self.words, self.words_before = {}, self.words
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.known_before = {}, self.known
         lists = [None if self.odd.search(t) else t.split() for t in texts]
         new: set[str] = set()
         for ws in lists:
             if ws:
                 new.update(ws)
+        new = new.difference(self.words)
+        for w in new.intersection(self.words_before):
+            self.words[w] = self.words_before[w]
         self.learn(new.difference(self.words))
         got = self.words.__getitem__
         return [self.whole(t) if ws is None else b"".join(map(got, ws)) for t, ws in zip(texts, lists, strict=True)]
@@ -146,6 +163,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, max_queues: int, known: int)
                     [batch.column(0), pa.array([part] * len(ids), pa.int32()), batch.column(1), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "part", "queue", "before", "n", "ids"],
                 )
+        release()
 
     return slim.mapInArrow(encode, "doc_id long, part int, queue string, before long, n long, ids binary")
 
@@ -192,26 +210,26 @@ def cut(service: Service, queue_of: dict[str, int], doc_ids, queues, starts, cou
         first[at] = np.maximum(0, service.rank(q, starts[at]) - slack) // service.window
         last[at] = (service.rank(q, starts[at] + counts[at]) + slack) // service.window
     wanted = np.unique(np.concatenate([np.arange(a, b + 2) for a, b in zip(first, last, strict=True)])) if len(number) else np.zeros(0, np.int64)
-    state = {}
-    for lo in range(0, len(wanted), 4096):
-        part = wanted[lo : lo + 4096]
-        state.update(zip(part.tolist(), service.after(part), strict=True))
-    for i in range(len(number)):
-        q, begin, end = number[i], int(starts[i]), int(starts[i] + counts[i])
-        data = np.frombuffer(ids[i], dtype="<u2")
-        for w in range(int(first[i]), int(last[i]) + 1):
-            a, b = state[w], state[w + 1]
-            lo, hi = max(begin, int(a[q])), min(end, int(b[q]))
+    state = np.concatenate([service.after(wanted[lo : lo + 4096]) for lo in range(0, len(wanted), 4096)]) if len(wanted) else np.zeros((0, len(service.totals)), np.int64)
+    given = np.diff(state, axis=0)
+    before = np.cumsum(given, axis=1) - given  # what earlier queues put into each window
+    row = {w: i for i, w in enumerate(wanted.tolist())}
+    served = {q: (state[:, q].tolist(), before[:, q].tolist()) for q in np.unique(number).tolist()}
+    for i, (q, begin, n, w0, w1) in enumerate(zip(number.tolist(), starts.tolist(), counts.tolist(), first.tolist(), last.tolist(), strict=True)):
+        end, (upto, offsets) = begin + n, served[q]
+        data = np.frombuffer(ids[i], dtype="<u2").astype("<u4")
+        for w in range(w0, w1 + 1):
+            r = row[w]
+            lo, hi = max(begin, upto[r]), min(end, upto[r + 1])
             if lo >= hi:
                 continue
-            piece = data[lo - begin : hi - begin].astype("<u4").tobytes()
             out["doc_id"].append(doc_ids[i])
             out["start"].append(lo - begin)
             out["length"].append(hi - lo)
-            out["ids_crc32"].append(zlib.crc32(piece))
-            out["doc_tokens"].append(int(counts[i]))
+            out["ids_crc32"].append(zlib.crc32(data[lo - begin : hi - begin]))
+            out["doc_tokens"].append(n)
             out["sequence_id"].append(w)
-            out["offset"].append(int((b[:q] - a[:q]).sum()) + lo - int(a[q]))
+            out["offset"].append(offsets[r] + lo - upto[r])
     return out
 
 

@@ -130,16 +130,16 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """One row per document: its size, its class, and what its class needs in either step."""
+    """One row per document (doc_id, text, print): its size, its class, and what its class needs in either step."""
 
     def run(batches):
         for b in slices(batches):
             owner, hashes, sizes = sets_of(b.column(1))
             k1, k2 = class_keys(owner, hashes, sizes)
             *_, need = signatures(owner, hashes, sizes)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(k1), pa.array(k2), pa.array(need[0]), pa.array(need[1])], names=["doc_id", "n", "key", "key2", "need0", "need1"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes), pa.array(k1), pa.array(k2), pa.array(need[0]), pa.array(need[1])], names=["doc_id", "print", "n", "key", "key2", "need0", "need1"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, key2 long, need0 long, need1 long")
+    return docs.mapInArrow(run, "doc_id long, print long, n long, key long, key2 long, need0 long, need1 long")
 
 
 def packed(keys: np.ndarray, who: np.ndarray, step: np.ndarray, sig: np.ndarray, need: np.ndarray, ranges: int) -> pa.RecordBatch:
@@ -301,24 +301,32 @@ def bloom_of(ids: DataFrame, column: str) -> np.ndarray | None:
 
 
 def sets_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, elements): the sets of the classes whose first documents are wanted (key, rep). Documents that
-    can't be wanted are left out before the join by a Bloom filter of fixed size, while it is sparse enough."""
-    bloom = bloom_of(wanted, "rep")
+    """(key, elements): the sets of the wanted classes (key, key2, rep, print). A class is looked for under its first
+    doc_id, or under a text's fingerprint where all its rows have none, and only a row of the class itself is taken:
+    others may stand under the same doc_id. Documents that can't be wanted are left out before the join by a Bloom
+    filter of fixed size, while it is sparse enough."""
+    wanted = wanted.select("key", "key2", F.coalesce("rep", "print").alias("at"), F.col("rep").isNull().alias("none"))
+    bloom = bloom_of(wanted, "at")
 
     def run(batches):
         for whole in batches:
             if bloom is not None:
-                slot = whole.column(2).to_numpy()
+                slot = whole.column(3).to_numpy()
                 keep = (bloom[slot // 64] >> (slot % 64)) & 1 == 1
                 whole = whole.filter(pa.array(keep))
             for lo in range(0, whole.num_rows, BATCH):
                 b = whole.slice(lo, BATCH)
-                owner, hashes, sizes = sets_of(b.column(1))
+                owner, hashes, sizes = sets_of(b.column(2))
+                k1, k2 = class_keys(owner, hashes, sizes)
                 edges = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["rep", "elements"])
+                elements = [hashes[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+                rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k1 & ~np.int64(1)), pa.array(k2), pa.array(elements, pa.binary())], names=["at", "none", "key", "key2", "elements"])
+                once = np.unique(np.stack([k1, k2, b.column(0).to_numpy()], 1), axis=0, return_index=True)[1]  # copies within a batch
+                yield rows.take(pa.array(np.sort(once)))
 
-    marked = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_WORDS * 64)).alias("slot"))
-    return marked.mapInArrow(run, "rep long, elements binary").join(wanted, "rep").select("key", "elements").dropDuplicates(["key"])
+    marked = docs.select(F.coalesce("doc_id", "print").alias("at"), F.col("doc_id").isNull().alias("none"), "text")
+    marked = marked.withColumn("slot", F.pmod(F.xxhash64("at"), F.lit(BLOOM_WORDS * 64)))
+    return marked.mapInArrow(run, "at long, none boolean, key long, key2 long, elements binary").join(wanted, ["at", "none", "key", "key2"]).select("key", "elements").dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -383,24 +391,17 @@ def ranges_for(signed_: float) -> int:
     return 1 << max(4, int(signed_ / RANGE_SIGNATURES).bit_length())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row.
-
-    A null text is empty, and an empty text (or one of white space) has size 0 and
-    is linked with nothing: component_id is its own doc_id. Rows repeated under one
-    doc_id give repeated results; a null doc_id takes part and keeps null, but is
-    never a component's name. An empty table gives an empty result; no column but
-    doc_id and text is read.
-    """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, print (the text's fingerprint), n, root (of its component, null where n is 0) and component_id for every row."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
     rows = durable(described(slim), "partenum-documents")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    classes = durable(rows.where("n > 0").groupBy(even("key").alias("key"), "key2").agg(F.min("doc_id").alias("rep"), F.max("need0").alias("need0"), F.max("need1").alias("need1")), "partenum-classes")
+    classes = durable(rows.where("n > 0").groupBy(even("key").alias("key"), "key2").agg(F.min("doc_id").alias("rep"), F.min("print").alias("print"), F.max("need0").alias("need0"), F.max("need1").alias("need1")), "partenum-classes")
     counts = posted(slim, ranges_for(total * 1.2)).groupBy("p").applyInPandas(repeated, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = counts.groupBy(even("key").alias("key")).agg(*[F.sum(F.when(F.pmod("key", F.lit(2)) == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in (0, 1)])
-    asked = classes.where("rep is not null").join(counts, "key", "left")
+    asked = classes.join(counts, "key", "left")
     left = asked.where("(need0 <> 0 and coalesce(n0, 0) >= need0) or (need1 <> 0 and coalesce(n1, 0) >= need1)")
-    left = durable(left.groupBy("key").agg(F.min("rep").alias("rep")), "partenum-left")
+    left = durable(left.select("key", "key2", "rep", "print"), "partenum-left")
     sets = durable(sets_for(slim, left), "partenum-sets")
     elements = sets.agg(F.sum(F.octet_length("elements"))).first()[0] or 0
     ranges = ranges_for(elements / 8 * 1.2)
@@ -418,12 +419,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             roots = components(links.unionByName(more))
     of_class = classes.select("key", "key2", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named_classes = of_class.join(names, "root").select("key", "key2", "component_id")
-    some = rows.where("n > 0").withColumn("key", even("key")).join(named_classes, ["key", "key2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named_classes = of_class.join(names, "root").select("key", "key2", "root", "component_id")
+    some = rows.where("n > 0").withColumn("key", even("key")).join(named_classes, ["key", "key2"]).select("doc_id", "print", "n", "root", "component_id")
+    none = rows.where("n = 0").select("doc_id", "print", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row.
+
+    A null text is empty, and an empty text (or one of white space) has size 0 and
+    is linked with nothing: component_id is its own doc_id. Rows repeated under one
+    doc_id are linked each by its own text; a row with a null doc_id takes part and
+    keeps null, but is never a component's name: a component of such rows alone has
+    none. An empty table gives an empty result; no column but doc_id and text is read.
+    """
+    return linked(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, columns as they are, of which one stays of each component: its
     smallest doc_id, and of rows repeated under that doc_id (or under none) the one

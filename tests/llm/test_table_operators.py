@@ -99,6 +99,23 @@ def test_near_duplicates_edges(spark):
     assert partenum.one_of_each(spark.createDataFrame(twice, schema)).where("doc_id = 1").count() == 1
 
 
+def test_near_duplicates_go_by_text_not_by_id(spark):
+    """Texts that share a doc_id, and texts without one, are linked each by what it says itself."""
+    words = [text(60).split() for _ in range(16)]
+    near = lambda ws, k: " ".join([*ws[:k], "edit", *ws[k + 1 :]])
+    rows = []
+    for i, ws in enumerate(words[:12]):  # two texts under each doc_id, each with a near copy elsewhere
+        rows += [(i // 2, " ".join(ws)), (100 + i, near(ws, 1))]
+    a, b, c = words[12], " ".join(words[13]), words[14]
+    rows += [(200, near(a, 20)), (None, " ".join(a)), (201, near(a, 40)), (None, b), (None, b + " more"), (None, near(c, 1)), (300, " ".join(words[15]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in partenum.near_duplicates(df).where("component_id is not null").collect())
+    want = [(False, i // 2, i // 2) for i in range(12)] + [(False, 100 + i, i // 2) for i in range(12)] + [(False, 200, 200), (False, 201, 200), (False, 300, 300), (True, 0, 200)]
+    assert got == sorted(want)
+    roots = {r["root"]: r["k"] for r in partenum.linked(df).where("component_id is null").groupBy("root").count().withColumnRenamed("count", "k").collect()}
+    assert sorted(roots.values()) == [1, 2]
+
+
 def test_signatures_lose_no_pair():
     """Sets right at the threshold share a signature, for sizes in one band and across bands."""
     for n in (4, 7, 9, 30, 100, 333):

@@ -48,41 +48,52 @@ def signatures(items: DataFrame, contained: int = CONTAINED) -> DataFrame:
     return sets.select("item_id", "n", F.floor(F.log2("n")).cast("int").alias("size_class"), F.explode(F.slice(F.array_sort("hs"), F.lit(1), k.cast("int"))).alias("h"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, contained: int = CONTAINED) -> DataFrame:
-    """doc_id, item_id, n_item, shared, containment: every document and item that it holds.
+def own_print(docs: DataFrame) -> Column:
+    """What tells rows without a doc_id apart: their text's fingerprint; null where there is a doc_id."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
-    Null texts are empty, and empty texts hold nothing and are held by nothing; an
-    item of fewer than five words is one shingle, its whole sequence, and is held by
-    documents of just these words. Items repeated under one item_id, or documents
-    under one doc_id, are reported once if any of them matches, with the most
-    shared shingles; a null id stays null. Empty tables give an empty result.
-    """
+
+def holding(docs: DataFrame, items: DataFrame, contained: int = CONTAINED) -> DataFrame:
+    """doc_id, own (see own_print), item_id, n_item, shared: rows and the items they hold, repeated for repeated ids."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     signed = durable(signatures(items, contained), "leak-signatures")
     facts = signed.groupBy("size_class").agg(F.max("h").alias("cut"), F.count("*").alias("rows")).collect()  # a row for each power of two
     n_signed, cut = sum(r["rows"] for r in facts), max((r["cut"] for r in facts), default=-(2**63))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("ws", words(F.col("text")))
-    sketch = slim.select("doc_id", F.size("ws").alias("n_words"), F.explode(F.filter(hashes(F.col("ws")), lambda h: h <= cut)).alias("h"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own_print(docs).alias("own")).withColumn("ws", words(F.col("text")))
+    sketch = slim.select("doc_id", "own", F.size("ws").alias("n_words"), F.explode(F.filter(hashes(F.col("ws")), lambda h: h <= cut)).alias("h"))
     met = sketch.join(small(signed, n_signed), "h").where(F.greatest(F.lit(1), F.col("n_words") - (SHINGLE - 1)) * 100 >= F.col("n") * contained)
-    found = durable(met.select("doc_id", "item_id").distinct(), "leak-candidates")
+    found = durable(met.select("doc_id", "own", "item_id").distinct(), "leak-candidates")
     n_found = found.count()
     texts = items.select("item_id", shingles(words(F.col("text"))).alias("item_set"))
     # only ids are broadcast; the few documents that stay then meet their candidates by key
-    ids = found.select(F.col("doc_id").alias("d")).distinct()
-    chosen = slim.join(small(ids, n_found), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").withColumn("doc_set", shingles(F.col("ws")))
-    asked = found.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
-    held = chosen.select("doc_id", "doc_set").join(asked, F.col("doc_id").eqNullSafe(F.col("d"))).join(small(texts, n_signed, 50_000), F.col("i").eqNullSafe(F.col("item_id")))
-    held = held.select("doc_id", "doc_set", F.struct("item_id", "item_set").alias("item"))
-    counted = held.select("doc_id", F.col("item.item_id").alias("item_id"), F.size("item.item_set").cast("long").alias("n_item"), F.size(F.array_intersect("item.item_set", "doc_set")).cast("long").alias("shared"))
-    sure = counted.where(F.col("shared") * 100 >= F.col("n_item") * contained)
-    best = sure.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item", "shared"), "shared").alias("m"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("own").eqNullSafe(F.col("o"))
+    ids = found.select(F.col("doc_id").alias("d"), F.col("own").alias("o")).distinct()
+    chosen = slim.join(small(ids, n_found), same, "left_semi").withColumn("doc_set", shingles(F.col("ws")))
+    asked = found.select(F.col("doc_id").alias("d"), F.col("own").alias("o"), F.col("item_id").alias("i"))
+    held = chosen.select("doc_id", "own", "doc_set").join(asked, same).join(small(texts, n_signed, 50_000), F.col("i").eqNullSafe(F.col("item_id")))
+    held = held.select("doc_id", "own", "doc_set", F.struct("item_id", "item_set").alias("item"))
+    counted = held.select("doc_id", "own", F.col("item.item_id").alias("item_id"), F.size("item.item_set").cast("long").alias("n_item"), F.size(F.array_intersect("item.item_set", "doc_set")).cast("long").alias("shared"))
+    return counted.where(F.col("shared") * 100 >= F.col("n_item") * contained)
+
+
+def leaks(docs: DataFrame, items: DataFrame, contained: int = CONTAINED) -> DataFrame:
+    """doc_id, item_id, n_item, shared, containment: every document and item that it holds.
+
+    Null texts are empty, and empty texts hold nothing and are held by nothing; an
+    item of fewer than five words is one shingle, its whole sequence, and is held by
+    documents of just these words. Items repeated under one item_id, or documents
+    under one doc_id, are reported once if any of them matches, with the most
+    shared shingles; a null id stays null. Empty tables give an empty result.
+    """
+    best = holding(docs, items, contained).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item", "shared"), "shared").alias("m"))
     return best.select("doc_id", "item_id", "m.n_item", "m.shared", F.round(F.col("m.shared") / F.col("m.n_item"), 6).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, contained: int = CONTAINED) -> DataFrame:
-    """The documents, all columns as they are, that hold no item. A document whose doc_id is null stays only if no null-id document holds one."""
-    bad = durable(leaks(docs, items, contained).select(F.col("doc_id").alias("bad_id")).distinct(), "leak-documents")
-    return docs.join(small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The documents, all columns as they are, that hold no item. Rows under one doc_id are one document and go together;
+    a row whose doc_id is null is a document of its own and goes only if its own text holds one."""
+    bad = durable(holding(docs, items, contained).select(F.col("doc_id").alias("bad_id"), F.col("own").alias("bad_own")).distinct(), "leak-documents")
+    return docs.join(small(bad, bad.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & own_print(docs).eqNullSafe(F.col("bad_own")), "left_anti")
 
 
 def op6_decontamination(spark, sf_dir):

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import durable, release, small, table
@@ -438,19 +438,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, columns as they are, of which one stays of each component: its
-    smallest doc_id, and of rows repeated under that doc_id (or under none) the one
-    whose text has the smallest hash, then any. Rows without words have nothing to
-    be compared by; each stays, once for each doc_id."""
+    """The documents, columns as they are, of which one row stays of each component: one under its smallest
+    doc_id (or under none, where no row has one), of these the one whose text has the smallest fingerprint, of
+    equal rows any. A row goes for its own text only, whatever else stands under its doc_id. Rows without words
+    have nothing to be compared by; each stays."""
     columns = docs.columns
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("all")).where("all").select("_gone")
-    gone = durable(gone, "partenum-gone")
-    stays = docs.join(small(gone, gone.count()), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    if stays.groupBy("doc_id").count().where("count > 1").isEmpty():
+    found = durable(linked(docs.select("doc_id", "text")).where("root is not null"), "partenum-linked")
+    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = durable(named.groupBy("root", "doc_id", "print").agg(F.count("*").alias("rows")), "partenum-first")
+    many = first.groupBy("root").agg(F.min("print").alias("least"), F.count("*").alias("n")).where("n > 1")
+    later = first.join(many, "root").where("print <> least").select("doc_id", "print")
+    others = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "print").distinct()
+    gone = durable(others.unionByName(later).withColumnsRenamed({"doc_id": "_id", "print": "_print"}), "partenum-gone")
+    this = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print"))
+    stays = docs.join(small(gone, gone.count()), this, "left_anti")
+    twice = durable(first.where("rows > 1").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")), "partenum-twice")
+    n_twice = twice.count()
+    if not n_twice:
         return stays.select(*columns)
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return stays.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*columns)
+    once = stays.join(small(twice, n_twice), this, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_print")).agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*")
+    return stays.join(small(twice, n_twice), this, "left_anti").select(*columns).unionByName(once)
 
 
 def op9_partenum_join(spark, sf_dir):

@@ -116,6 +116,16 @@ def test_near_duplicates_go_by_text_not_by_id(spark):
     assert sorted(roots.values()) == [1, 2]
 
 
+def test_one_of_each_goes_by_text(spark):
+    a, b, c, d, e = (text(40) for _ in range(5))
+    rows = [(None, a, 0), (None, b, 1), (None, a, 2), (None, c + " more", 3), (7, c, 4), (8, c, 5), (7, d, 6), (9, e, 7), (9, e, 8), (None, None, 9), (None, "", 10), (None, None, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    left = partenum.one_of_each(df)
+    got = {r["n"] for r in left.collect()}
+    assert left.columns == df.columns
+    assert len(got & {0, 2}) == len(got & {7, 8}) == 1 and got - {0, 2, 7, 8} == {1, 4, 6, 9, 10, 11}
+
+
 def test_signatures_lose_no_pair():
     """Sets right at the threshold share a signature, for sizes in one band and across bands."""
     for n in (4, 7, 9, 30, 100, 333):
@@ -156,6 +166,13 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_rows_without_an_id_are_cleaned_each_by_its_text(spark):
+    item, fine, bad = text(20), [text(60) for _ in range(3)], text(30)
+    docs = spark.createDataFrame([(None, fine[0]), (None, bad + " " + item), (None, fine[1]), (1, fine[2]), (2, item), (None, None)], "doc_id long, text string")
+    left = decontaminate.clean(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(map(str, (r["text"] for r in left.collect()))) == sorted([*fine, "None"])
+
+
 # personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

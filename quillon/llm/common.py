@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     on one machine) is a temporary folder made and set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -29,7 +31,29 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete durable tables of which nothing that is still to run reads."""
+    for t in tables:
+        if path := getattr(t, "_durable_path", None):
+            jvm, session = t.sparkSession._jvm, t.sparkSession._jsparkSession
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that df has none of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := "_" + name).lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 #: Rows of ids, signatures and the like up to which a side is broadcast; beyond, the same join goes by key.
@@ -44,11 +68,9 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
 def release() -> None:
     """Give memory that a Python worker no longer uses back to the system: workers live on between tasks, beside a JVM."""
     import ctypes
-    import gc
 
     import pyarrow
 
-    gc.collect()
     pyarrow.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

@@ -46,74 +46,75 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: What a byte adds to its word's value, A-Z as a-z; what a place multiplies it by; the weight of each word of a shingle.
+BYTES = mixed(LOWER.astype(np.uint64) + np.uint64(1))
+PLACE, PLACE_BACK = 0x9E3779B97F4A7C55, pow(0x9E3779B97F4A7C55, -1, 1 << 64)
+#: Powers of both are kept up to so many places.
+KEPT_PLACES = 1 << 21
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2**64."""
+    if len(have := _powers.get(base, ())) < n:
+        factors = np.full(max(n, 4096), base, dtype=np.uint64)
+        factors[0] = 1
+        have = np.cumprod(factors, dtype=np.uint64)
+        if n <= KEPT_PLACES:
+            _powers[base] = have
+    return have[:n]
+
+
 def shingle_sets(buffer: np.ndarray, ends: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document numbers, hashes, words per document) of every shingle of texts
     that stand one after another in a buffer of UTF-8 bytes; ends[i] is where
     text i ends. Sorted by document and hash, each hash once per document.
 
     A word's hash is a polynomial in its bytes modulo 2**64, taken from running
-    sums; a shingle's hash mixes its words' with their places. Whole texts, and
+    sums; a shingle's hash is a weighted sum of its words', mixed. Whole texts, and
     all in array operations.
     """
     n_docs = len(ends)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    space = SPACE[buffer]
-    inside = ~space
-    begins = inside.copy()
-    begins[1:] &= space[:-1]
-    begins[starts[(starts < len(buffer)) & (starts < ends)]] |= inside[starts[(starts < len(buffer)) & (starts < ends)]]
-    closes = inside.copy()
-    closes[:-1] &= space[1:]
-    last = ends[ends > starts] - 1
-    closes[last] |= inside[last]
+    inside = ~SPACE[buffer]
+    begins, closes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    full = ends > starts
+    begins[starts[full]] |= inside[starts[full]]
+    closes[ends[full] - 1] |= inside[ends[full] - 1]
     b, e = np.flatnonzero(begins), np.flatnonzero(closes) + 1
     if not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)
-    length = e - b
-    # the value of bytes b..e: sum of (byte + 1) * M ** (place in the word), by rounds over the place for short words
-    low = LOWER[buffer].astype(np.uint64)
-    h = np.full(len(b), 0xCBF29CE484222325, dtype=np.uint64)
-    order = np.argsort(-length, kind="stable")
-    sorted_b, sorted_len = b[order], length[order]
-    acc = h[order]
-    active = len(order)
-    place = 0
     with np.errstate(over="ignore"):
-        while active:
-            active = int(np.searchsorted(-sorted_len, -place, side="left"))  # words longer than place
-            if not active:
-                break
-            if active < 64:  # the few long ones, each by itself
-                for i in range(active):
-                    tail = low[sorted_b[i] + place : sorted_b[i] + sorted_len[i]]
-                    acc[i] = fold(acc[i], tail)
-                break
-            acc[:active] = (acc[:active] ^ low[sorted_b[:active] + place]) * np.uint64(0x100000001B3)
-            place += 1
-        h[order] = acc
-        h = mixed(h)
-        doc = np.searchsorted(ends, b, side="right")
-        counts = np.bincount(doc, minlength=n_docs)
+        sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
+        np.cumsum(BYTES[buffer] * powers(PLACE, len(buffer)), dtype=np.uint64, out=sums[1:])
+        h = mixed((sums[e] - sums[b]) * powers(PLACE_BACK, len(buffer))[b])
+        counts = np.searchsorted(b, ends) - np.searchsorted(b, starts)
         firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         n_sh = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
         owner = np.repeat(np.arange(n_docs), n_sh)
-        at = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n_sh)[:-1]]), n_sh) + firsts[owner]
-        s = np.zeros(len(owner), dtype=np.uint64)
+        at = np.arange(len(owner)) + np.repeat(firsts - (np.cumsum(n_sh) - n_sh), n_sh)
         padded = np.concatenate([h, np.zeros(size, np.uint64)])
-        limit = (firsts + counts)[owner]
+        s = np.zeros(len(owner), dtype=np.uint64)
         for k in range(size):
-            word = np.where(at + k < limit, padded[at + k], np.uint64(0))
-            s = mixed(s * MIX + word + np.uint64(k + 1))
-    order = np.lexsort((s, owner))
+            s += padded[at + k] * WEIGHTS[k]
+        few = np.flatnonzero((counts > 0) & (counts < size))  # their one shingle ends with the document
+        place = np.cumsum(n_sh)[few] - 1
+        for k in range(1, size):
+            beyond = counts[few] <= k
+            s[place[beyond]] -= padded[at[place[beyond]] + k] * WEIGHTS[k]
+        s = mixed(s)
+    order = np.argsort(s)
+    if n_docs <= 1 << 16:
+        order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+    else:
+        order = order[np.argsort(owner[order], kind="stable")]
     owner, s = owner[order], s[order]
     new = np.ones(len(s), dtype=bool)
     new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
     return owner[new], s[new], counts
 
 
-def fold(start: np.uint64, data: np.ndarray) -> np.uint64:
-    """The same word hash for a long tail, in plain integers."""
-    h = int(start)
-    for x in data.tolist():
-        h = ((h ^ x) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return np.uint64(h)
+#: The weights of a shingle's words.
+WEIGHTS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64) * MIX) | np.uint64(1)

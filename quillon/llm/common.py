@@ -76,6 +76,12 @@ def release() -> None:
         trim(0)
 
 
+def drawn(salt: str, key: str, rows: int, of: int) -> Column:
+    """Whether a key is in a sample of about `rows` of `of` keys, by its hash: a threshold of 63 bits, so that a small share of very many isn't rounded away."""
+    share = min(1.0, rows / max(1, of))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.col(key)), 1) <= F.lit(min((1 << 63) - 1, int(share * (1 << 63))))
+
+
 def crc32_mod(column: Column, divisor: int) -> Column:
     """crc32 of the value as text, modulo divisor; a null counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)

@@ -3,8 +3,8 @@
 One classifier sees the text alone (shape statistics of characters, words and
 lines), the other the page's metadata alone (source, language, stated length).
 Each is fitted on a bounded sample of labelled rows; then, for some rounds, each
-labels the unlabelled pool, and the rows of which it is surest are added, with
-its label, to what the other learns from. Both views are then calibrated on
+labels all documents without a label, and those of which it is surest (and which it
+hasn't handed over before) are added, with its label, to what the other learns from. Both views are then calibrated on
 labelled rows that neither was fitted on, and a last small model weighs the
 calibrated logits, so a view that says nothing counts for nothing. All
 documents are scored where they are read, without a shuffle.
@@ -21,17 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, table
+from quillon.llm.common import discard, drawn, durable, fresh, small, table
 from quillon.llm.fit import Logistic
 
-#: Expected labelled rows that the fit reads, rows of the unlabelled pool, rounds, rows that a view hands over of each class.
-LABELLED_ROWS, POOL_ROWS, ROUNDS, HANDED = 6_000, 6_000, 3, 150
+#: Expected labelled rows that the fit reads, rounds, rows that a view hands over in a round for each class, on average.
+LABELLED_ROWS, ROUNDS, HANDED = 6_000, 3, 150
 #: Least certainty of a pseudo-label, its weight, parts of the labelled rows (the last one calibrates).
 SURE, PSEUDO_WEIGHT, FOLDS = 0.95, 0.3, 4
 #: A document is kept from this score on.
 KEEP_FROM = 0.5
-#: Buckets of the hashed metadata.
-BUCKETS = 32
+#: Buckets of the hashed metadata; statistics of a text; the columns of the views.
+BUCKETS, N_TEXT = 32, 18
+VIEW_NAMES = ("x1", "source", "lang", "stated")
 UPPER = np.zeros(256)
 UPPER[65:91] = 1
 LOWER = np.zeros(256)
@@ -73,16 +74,6 @@ def bucket(kind: str, value) -> int:
     return zlib.crc32(f"{kind}:{value}".encode()) % BUCKETS
 
 
-def metadata_view(source, lang, stated) -> list[float]:
-    """Hashed source and language, and the stated length; a null is a value of its own."""
-    out = [0.0] * (2 * BUCKETS + 2)
-    out[bucket("source", source)] = 1.0
-    out[BUCKETS + bucket("lang", lang)] = 1.0
-    out[-2] = float(np.log1p(max(0, stated))) if stated is not None else 0.0
-    out[-1] = float(stated is None)
-    return out
-
-
 class CoTrained:
     """The fitted pair of views and what combines them."""
 
@@ -98,105 +89,205 @@ class CoTrained:
         return self.combine.score(logits)
 
 
-def co_train(x1, x2, y, fold, pool1, pool2, rounds: int = ROUNDS) -> CoTrained:
-    """x1, x2: views of labelled rows; pool1, pool2: of unlabelled ones. Fold FOLDS - 1 only calibrates."""
+def fitted(views, y, weights_of, given, fit) -> list[Logistic]:
+    """Both views' models, from the labelled rows in `fit` and the pseudo-labelled ones given to each."""
+    models = []
+    for v in (0, 1):
+        x = np.vstack([views[v][fit], given[v][0]])
+        labels = np.concatenate([y[fit], given[v][1]])
+        models.append(Logistic(penalty=2.0).fit(x, labels, weights_of(int(fit.sum()), len(given[v][1]))))
+    return models
+
+
+def co_train(x1, x2, y, fold, pool, rounds: int = ROUNDS, handed: int = HANDED) -> CoTrained:
+    """x1, x2: views of labelled rows; fold FOLDS - 1 only calibrates. pool: an object of which
+    surest(models, most, had) gives, for each view, the unlabelled rows that it is surest of, by class."""
     fit = fold != FOLDS - 1
     if not len(y) or len(set(y[fit].tolist())) < 2:
         return CoTrained(None, None, None, float(y.mean()) if len(y) else 1.0)
-    given = [(np.zeros(0, int), np.zeros(0)), (np.zeros(0, int), np.zeros(0))]  # to each view: rows of the pool, their labels
-    views, pools = (x1, x2), (pool1, pool2)
     base = float(y[fit].mean())
-    models: list[Logistic] = []
-    for step in range(rounds + 1):
-        models = []
-        for v in (0, 1):
-            rows, labels = given[v]
-            x = np.vstack([views[v][fit], pools[v][rows]])
-            models.append(Logistic(penalty=2.0).fit(x, np.concatenate([y[fit], labels]), np.concatenate([np.ones(fit.sum()), np.full(len(rows), PSEUDO_WEIGHT)])))
-        if step == rounds or not len(pool1):
+    # hand over in proportion to the classes, so that the rarer one doesn't swell
+    most = {1: int(2 * handed * base), 0: int(2 * handed * (1 - base))}
+    given = [(np.zeros((0, x1.shape[1])), np.zeros(0)), (np.zeros((0, x2.shape[1])), np.zeros(0))]
+    had: tuple[set, set] = (set(), set())
+    weights = lambda n, m: np.concatenate([np.ones(n), np.full(m, PSEUDO_WEIGHT)])
+    models = fitted((x1, x2), y, weights, given, fit)
+    for _ in range(rounds if pool is not None else 0):
+        found = pool.surest(models, most, had)
+        for v in (0, 1):  # what view v is surest of goes to the other
+            ids, labels, one, two = found[v]
+            had[v].update(ids)
+            x, was = given[1 - v]
+            given[1 - v] = np.vstack([x, (two if v == 0 else one)]), np.concatenate([was, labels])
+        if not any(len(f[0]) for f in found):
             break
-        for v in (0, 1):
-            p = models[v].score(pools[v])
-            # hand over in proportion to the classes, so that the rarer one doesn't swell
-            most = {1: int(2 * HANDED * base), 0: int(2 * HANDED * (1 - base))}
-            rows, labels = [], []
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[: most[label]]
-                best = best[sure[best] >= SURE]
-                rows.append(best)
-                labels.append(np.full(len(best), float(label)))
-            had, was = given[1 - v]
-            now, what = np.concatenate(rows), np.concatenate(labels)
-            fresh = ~np.isin(now, had)
-            given[1 - v] = np.concatenate([had, now[fresh]]), np.concatenate([was, what[fresh]])
+        models = fitted((x1, x2), y, weights, given, fit)
     held = ~fit
     logits = np.stack([models[0].logit(x1), models[1].logit(x2)], 1)
     combine = Logistic(penalty=1.0).fit(logits[held], y[held]) if len(set(y[held].tolist())) == 2 else None
     return CoTrained(models[0], models[1], combine, base)
 
 
-def with_views(docs: DataFrame, keep: list[str], fields, make) -> DataFrame:
-    """Each row's `keep` columns and what make(text view, metadata view) gives."""
+def metadata_matrix(source: np.ndarray, lang: np.ndarray, stated: np.ndarray) -> np.ndarray:
+    """The metadata views: hashed source and language, the stated length, and whether there is none."""
+    out = np.zeros((len(source), 2 * BUCKETS + 2))
+    every = np.arange(len(source))
+    out[every, source] = 1.0
+    out[every, BUCKETS + lang] = 1.0
+    none = np.isnan(stated)
+    out[:, -2], out[:, -1] = np.log1p(np.maximum(0.0, np.where(none, 0.0, stated))), none
+    return out
+
+
+def viewed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Each row's `keep` columns and its two views: the text's statistics, and the metadata in short."""
     from pyspark.sql import types as T
 
+    names = fresh(docs, *VIEW_NAMES)
+    fields = [T.StructField(names[0], T.ArrayType(T.DoubleType())), T.StructField(names[1], T.IntegerType()), T.StructField(names[2], T.IntegerType()), T.StructField(names[3], T.DoubleType())]
     schema = T.StructType([*docs.select(*keep).schema.fields, *fields])
-    pick = lambda name, kind: (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(f"_{name}")
+    pick = lambda name, kind: (F.col(name) if name in docs.columns else F.lit(None)).cast(kind)
+    asked = [F.col("text").alias(names[0]), pick("source", "string").alias(names[1]), pick("lang", "string").alias(names[2]), pick("n_chars", "double").alias(names[3])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                text, source, lang, stated = (b.column(len(keep) + i).to_pylist() for i in range(4))
-                x1 = np.array([text_view(t or "") for t in text])
-                x2 = np.array([metadata_view(*m) for m in zip(source, lang, stated, strict=True)])
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *make(x1, x2)], names=[f.name for f in schema.fields])
+                text, source, lang, stated = (b.column(len(keep) + i) for i in range(4))
+                x1 = pa.array([text_view(t or "") for t in text.to_pylist()], pa.list_(pa.float64()))
+                numbers = [pa.array([bucket(kind, v) for v in values.to_pylist()], pa.int32()) for kind, values in (("source", source), ("lang", lang))]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), x1, *numbers, stated], names=schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_text"), pick("source", "string"), pick("lang", "string"), pick("n_chars", "long")).mapInArrow(run, schema)
+    return docs.select(*keep, *asked).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained:
-    from pyspark.sql import types as T
+def matrices(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of a batch whose view columns begin at a place."""
+    x1 = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return x1, metadata_matrix(batch.column(at + 1).to_numpy(), batch.column(at + 2).to_numpy(), batch.column(at + 3).to_numpy(zero_copy_only=False))
+
+
+class Unlabelled:
+    """All unlabelled documents' views (_id and the view columns), of which each round takes the surest: a histogram of
+    certainty tells from where on, so that no task and not the driver sees more than it hands over, and a bucket's ties."""
 
-    known = durable(labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "quality-labels")
-    n, all_docs = known.count(), docs.count()
-    million = 1_000_000
-    part = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(million))
-    asked = known.where(part("labelled") < int(million * min(1.0, labelled_rows / max(1, n))))
-    pool = docs.where(F.col("doc_id").isNotNull() & (part("pool") < int(million * min(1.0, pool_rows / max(1, all_docs))))).select("doc_id").distinct()
-    pool = pool.join(known, "doc_id", "left_anti").withColumn("quality", F.lit(-1))
-    chosen = asked.unionByName(pool)
-    # about labelled_rows + pool_rows ids, by construction: sent to where documents are read, so that no text is shuffled
-    rows = docs.drop("quality").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)))
-    fields = [T.StructField(k, T.ArrayType(T.DoubleType())) for k in ("x1", "x2")]
-    as_lists = lambda x1, x2: [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (x1, x2)]
-    got = with_views(rows, ["doc_id", "quality", "fold"], fields, as_lists).orderBy("doc_id").collect()
-    y = np.array([r["quality"] for r in got], dtype=float)
-    x1, x2 = np.array([r["x1"] for r in got]).reshape(len(got), -1), np.array([r["x2"] for r in got]).reshape(len(got), -1)
-    fold = np.array([r["fold"] for r in got], dtype=int)
-    is_labelled = y >= 0
-    return co_train(x1[is_labelled], x2[is_labelled], y[is_labelled], fold[is_labelled], x1[~is_labelled], x2[~is_labelled])
-
-
-def score(docs: DataFrame, model: CoTrained, keep: list[str]) -> DataFrame:
-    """Each row's `keep` columns and score (0 to 1; higher: better).
-
-    A null text is judged as an empty one; nulls of source, lang and n_chars are
-    values of their own, and columns that don't exist are null throughout; with
-    labels of one class (or none) every score is their rate (or 1). Repeated rows
-    are judged alike, and no other column is read.
+    STEPS = 2000
+
+    def __init__(self, views: DataFrame):
+        self.views = views
+
+    def surest(self, models, most, had):
+        steps, names = self.STEPS, self.views.columns
+
+        def certain(batch):
+            """(view, label, certainty of each row)"""
+            x = matrices(batch, 1)
+            for v in (0, 1):
+                p = models[v].score(x[v])
+                for label in (0, 1):
+                    yield v, label, p if label else 1 - p
+
+        def counted(batches):
+            sums = np.zeros((2, 2, steps + 1), dtype=np.int64)
+            for b in batches:
+                fresh_ = [~np.isin(b.column(0).to_numpy(), sorted(had[v])) for v in (0, 1)]
+                for v, label, sure in certain(b):
+                    sums[v, label] += np.bincount(((sure[fresh_[v] & (sure >= SURE)] - SURE) / (1 - SURE) * steps).astype(int), minlength=steps + 1)
+            v, label, step = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32()), pa.array(label, pa.int32()), pa.array(step, pa.int32()), pa.array(sums[v, label, step])], names=["v", "label", "step", "n"])
+
+        sums = np.zeros((2, 2, steps + 1), dtype=np.int64)
+        for r in self.views.mapInArrow(counted, "v int, label int, step int, n long").groupBy("v", "label", "step").agg(F.sum("n").alias("n")).collect():
+            sums[r["v"], r["label"], r["step"]] = r["n"]
+        least = np.full((2, 2), 2.0)
+        for v in (0, 1):
+            for label in (0, 1):
+                above = np.cumsum(sums[v, label][::-1])
+                if above[-1] and most[label]:
+                    least[v, label] = SURE + (1 - SURE) * max(0, steps - int(np.searchsorted(above, most[label]))) / steps
+
+        def chosen(batches):
+            for b in batches:
+                for v, label, sure in certain(b):
+                    ids = b.column(0).to_numpy()
+                    use = np.flatnonzero((sure >= max(SURE, least[v, label] - 1e-12)) & ~np.isin(ids, sorted(had[v])))
+                    if len(use):
+                        part = b.take(pa.array(use))
+                        more = [pa.array(np.full(len(use), v), pa.int32()), pa.array(np.full(len(use), label), pa.int32()), pa.array(sure[use])]
+                        yield pa.RecordBatch.from_arrays([*more, *part.columns], names=["v", "label", "sure", *names])
+
+        picked = durable(self.views.mapInArrow(chosen, "v int, label int, sure double, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.views.schema)), "quality-handed")
+        out = []
+        for v in (0, 1):
+            rows = [r for label in (0, 1) for r in picked.where((F.col("v") == v) & (F.col("label") == label)).orderBy(F.desc("sure"), F.xxhash64("_id"), "_id").limit(most[label]).collect()]
+            x1 = np.array([r[names[1]] for r in rows]).reshape(len(rows), -1) if rows else np.zeros((0, N_TEXT))
+            x2 = metadata_matrix(*(np.array([r[n] if r[n] is not None else np.nan for r in rows], dtype=t) for n, t in zip(names[2:], (int, int, float), strict=True)))
+            out.append(([r["_id"] for r in rows], np.array([float(r["label"]) for r in rows]), x1, x2))
+        discard(picked)
+        return out
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").cast("int").alias("_quality"))
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> CoTrained:
+    views = durable(viewed(docs, ["doc_id"]), "quality-views")
+    model = train_on(views, labels, labelled_rows, rounds)
+    discard(views)
+    return model
+
+
+def train_on(views: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> CoTrained:
+    """views: what viewed(docs, ["doc_id"]) gives, written. Fitted on about labelled_rows labelled rows, drawn by hash; what the
+    views hand to each other comes from all documents without a label."""
+    known = durable(known_labels(labels), "quality-labels")
+    n = known.count()
+    shorts = views.select(F.col(views.columns[0]).cast("long").alias("_id"), *views.columns[1:])
+    asked = durable(known.where(drawn("labelled", "_id", labelled_rows, n)), "quality-asked")
+    names = shorts.columns
+    got = shorts.join(small(asked, asked.count()), "_id").withColumn("_fold", F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(FOLDS))).orderBy("_id", *names[2:]).collect()
+    y, fold = np.array([r["_quality"] for r in got], dtype=float), np.array([r["_fold"] for r in got], dtype=int)
+    x1 = np.array([r[names[1]] for r in got]).reshape(-1, N_TEXT)
+    x2 = metadata_matrix(*(np.array([r[k] if r[k] is not None else np.nan for r in got], dtype=t) for k, t in zip(names[2:], (int, int, float), strict=True)))
+    pool = durable(shorts.where("_id is not null").join(small(known.select("_id"), n), "_id", "left_anti"), "quality-pool")
+    model = co_train(x1, x2, y, fold, Unlabelled(pool), rounds)
+    discard(pool, known, asked)
+    return model
+
+
+def score(docs: DataFrame, model: CoTrained, keep: list[str], name: str = "score") -> DataFrame:
+    """Each row's `keep` columns and its score (0 to 1; higher: better).
+
+    A null text is judged as an empty one, a text of any length whole; nulls of source,
+    lang and n_chars are values of their own, and columns that don't exist are null
+    throughout; with labels of one class (or none) every score is their rate (or 1).
+    Repeated rows are judged alike, an empty table stays empty, and no other column is read.
     """
+    return scored(viewed(docs, keep), model, name)
+
+
+def scored(views: DataFrame, model: CoTrained, name: str = "score") -> DataFrame:
+    """What viewed() gives, with the views replaced by the score."""
     from pyspark.sql import types as T
 
-    return with_views(docs, keep, [T.StructField("score", T.DoubleType())], lambda x1, x2: [pa.array(model.score(x1, x2), pa.float64())])
+    kept_ = views.columns[: -len(VIEW_NAMES)]
+    schema = T.StructType([*views.select(*kept_).schema.fields, T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept_)], pa.array(model.score(*matrices(b, len(kept_))), pa.float64())], names=schema.names)
+
+    return views.mapInArrow(run, schema)
 
 
 def kept(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The documents, columns as they are, that score keep_from or more."""
-    columns = docs.columns
-    return score(docs, train(docs, labels), columns).where(F.col("score") >= keep_from).select(*columns)
+    """The documents, columns as they are and whatever their names, that score keep_from or more."""
+    columns, (name,) = docs.columns, fresh(docs, "score")
+    return score(docs, train(docs, labels), columns, name).where(F.col(name) >= keep_from).select(*columns)
 
 
 def op10_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, ["doc_id"]).withColumn("keep", F.col("score") >= KEEP_FROM)
+    views = durable(viewed(table(spark, sf_dir, "documents"), ["doc_id"]), "quality-views")
+    return scored(views, train_on(views, table(spark, sf_dir, "labels"))).withColumn("keep", F.col("score") >= KEEP_FROM)

@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import crc32_mod, durable, table
+from quillon.llm.common import crc32_mod, drawn, durable, small, table
 from quillon.llm.fit import Logistic
 
-#: Expected labelled rows that the fit reads, terms kept at most, rows that a learned term must stand in.
-TRAINING_ROWS, LEXICON, LEAST_ROWS = 20_000, 20_000, 4
+#: Expected labelled rows that the fit reads, rows that a learned term must stand in.
+TRAINING_ROWS, LEAST_ROWS = 20_000, 4
 #: Lengths of stems that are tried.
 STEMS = (3, 4, 5, 6)
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -209,7 +209,7 @@ def learned_terms(sample: DataFrame) -> dict[str, float]:
     g2 = 2 * (part(a, base) + part(m - a, 1 - base))
     weight = F.ln((a + 0.5) / (a_all + 1)) - F.ln((m - a + 0.5) / (n - a_all + 1))
     kept = per.select("term", g2.alias("g2"), weight.alias("w")).where((F.col("w") > 1.5) & (F.col("g2") > 2 * math.log(2 * tried)))
-    return {r["term"]: float(r["w"]) for r in kept.orderBy(F.desc("g2"), "term").limit(LEXICON).collect()}
+    return {r["term"]: float(r["w"]) for r in kept.orderBy(F.desc("g2"), "term").collect()}  # of a bounded sample
 
 
 def _longer(n: int):
@@ -242,9 +242,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
     """(text, toxic): about so many labelled rows, by the hash of doc_id."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(1, n))))
-    # about `rows` ids, by construction: sent to where documents are read, so that no text is shuffled
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    chosen = durable(known.where(drawn("toxicity", "doc_id", rows, n)), "toxic-ids")
+    # about `rows` ids: sent to where documents are read, so that no text is shuffled
+    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(small(chosen, chosen.count()), "doc_id").select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS):
@@ -267,8 +267,10 @@ def shaped(x: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, lexicon: dict[str, float], model: Logistic | None, keep: list[str]) -> DataFrame:
     """Each row's `keep` columns, score (0 to 1) and predicted (1 from 0.5 on).
 
-    A null or empty text is scored as one without matches; without a model
-    every score is 0. Repeated rows are scored alike, and no other column is read.
+    A null or empty text is scored as one without matches, a text of any length
+    clause by clause, whole; without a model every score is 0; an empty table gives
+    an empty result. Repeated rows are scored alike, and no other column is read, so
+    clashing names are only those of `keep` with score and predicted.
     """
     from pyspark.sql import types as T
 

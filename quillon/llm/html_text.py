@@ -27,11 +27,14 @@ from quillon.llm.common import table
 
 #: HTML's elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
-FURNITURE = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object svg canvas menu dialog fieldset figure map audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
+FURNITURE = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object svg canvas menu dialog fieldset map audio video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset("article main".split())
 CLOSED_BY_ITSELF = frozenset("p li dt dd tr td th option".split())
+TEXT_BLOCKS = frozenset("blockquote pre table tbody ul ol dl figure section".split())
+#: A word of a class that begins so says what the element has, not what it is.
+SAYS_OF = frozenset("has no not with without hide show is".split())
 #: Words in class, id or role that mark furniture.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo complementary cookie cookies disqus "
@@ -54,82 +57,114 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_region: bool)
         return True
     if tag == "header" and not in_region:
         return True
-    if tag in ("html", "body") or tag in REGIONS or tag in HEADINGS:
+    if tag in ("html", "body") or tag in HEADINGS:
         return False
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and re.search(r"display\s*:\s*none", value, re.I)):
             return True
         if name in ("class", "id", "role") and value:
-            marks = SPLIT.split(CAMEL.sub("-", value).lower())
-            if not MARKS.isdisjoint(marks) or ("header" in marks and not in_region and HEADER_OF_TEXT.isdisjoint(marks)):
-                return True
+            for word in value.split():
+                marks = SPLIT.split(CAMEL.sub("-", word).lower())
+                if marks[0] in SAYS_OF and len(marks) > 1:
+                    continue
+                if not MARKS.isdisjoint(marks) or ("header" in marks and not in_region and HEADER_OF_TEXT.isdisjoint(marks)):
+                    return True
     return False
 
 
 class Lines(HTMLParser):
-    """Gathers (text, tags, link characters, furniture?, ids of the elements around it)."""
+    """Gathers lines (text, tags, link characters, the element around it) and elements (tag, parent, furniture?)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, furniture
-        self.tags_of: list[str] = []
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.tag_of, self.parent_of, self.furniture = ["html"], [0], [False]  # element 0 is the page
+        self.open = [0]
+        self.opened: dict[str, int] = {}  # how many of each tag are open
+        self.left_open: set[int] = set()  # elements that nothing but the page's end closes
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = 0
 
     def border(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                furniture = bool(self.open) and self.open[-1][2]
-                self.lines.append((text, self.tags, self.linked, furniture, tuple(n for _, n, _ in self.open)))
+                self.lines.append((text, self.tags, self.linked, self.open[-1]))
             self.parts, self.linked = [], 0
             self.tags = 0
 
+    def shut(self, at: int, by_page: bool = False) -> None:
+        """Close the open elements from a place on."""
+        for n in self.open[at:]:
+            self.opened[self.tag_of[n]] -= 1
+            if by_page:
+                self.left_open.add(n)
+        del self.open[at:]
+
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
             self.border()
         self.tags += 1
+        if tag == "br":
+            self.parts.append(" ")
         if tag in VOID:
             return
         if tag in CLOSED_BY_ITSELF:
-            for i in range(len(self.open) - 1, max(-1, len(self.open) - 8), -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
+            for i in range(len(self.open) - 1, max(0, len(self.open) - 8), -1):
+                name = self.tag_of[self.open[i]]
+                if name == tag:
+                    self.shut(i)
                     break
-                if self.open[i][0] not in INLINE and self.open[i][0] not in CLOSED_BY_ITSELF:
+                if name not in INLINE and name not in CLOSED_BY_ITSELF:
                     break
-        if tag in REGIONS:  # an article never lies inside an element that somebody forgot to close
-            while self.open and self.open[-1][2]:
-                self.open.pop()
-        self.links += tag == "a"
-        in_region = any(t in REGIONS for t, _, _ in self.open)
-        hidden = bool(self.open) and self.open[-1][2]
-        if not hidden and in_region and tag not in HEADINGS and any(t == "header" for t, _, _ in self.open):
-            hidden = tag not in INLINE  # of an article's header only the headings stay
-        self.open.append((tag, len(self.tags_of), hidden or is_furniture(tag, attrs, in_region)))
-        self.tags_of.append(tag)
+        in_region = any(self.opened.get(t) for t in REGIONS)
+        # of an article's header only the headings stay
+        of_header = in_region and self.opened.get("header") and tag not in HEADINGS and tag not in INLINE
+        self.tag_of.append(tag)
+        self.parent_of.append(self.open[-1])
+        self.furniture.append(bool(of_header) or is_furniture(tag, attrs, in_region))
+        self.open.append(len(self.tag_of) - 1)
+        self.opened[tag] = self.opened.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         if tag not in INLINE:
             self.border()
         self.tags += 1
+        if tag == "br":
+            self.parts.append(" ")
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.border()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                for t, _, _ in self.open[i:]:
-                    self.links -= t == "a"
-                del self.open[i:]
-                break
+        if self.opened.get(tag):
+            i = len(self.open) - 1
+            while self.tag_of[self.open[i]] != tag:
+                i -= 1
+            self.shut(i, tag in ("html", "body"))
 
     def handle_data(self, data):
         self.parts.append(data)
-        if self.links > 0:
+        if self.opened.get("a"):
             self.linked += len(data)
 
+    def end(self) -> None:
+        self.close()
+        self.border()
+        self.shut(1, True)
+
+    def hidden(self) -> list[bool]:
+        """Which elements are furniture, or lie in some. Furniture that somebody forgot to close ends where text begins:
+        at the first article, heading or paragraph in it."""
+        release: dict[int, int] = {}
+        source = [-1] * len(self.tag_of)  # the furniture that hides each element
+        for n in range(1, len(source)):
+            tag, hides = self.tag_of[n], source[self.parent_of[n]]
+            while hides >= 0 and hides in self.left_open and (n >= release.get(hides, n + 1) or tag in REGIONS or tag in HEADINGS or tag == "p"):
+                release.setdefault(hides, n)
+                hides = source[self.parent_of[hides]]
+            source[n] = hides if hides >= 0 else n if self.furniture[n] else -1
+        return [x >= 0 for x in source]
+
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     radius = max(1, math.ceil(3 * sigma))
@@ -148,32 +183,50 @@ def main_text(html: str | None) -> str:
         return ""
     parser = Lines()
     parser.feed(html)
-    parser.close()
-    parser.border()
-    lines, tags_of = parser.lines, parser.tags_of
-    ratios = [0.0 if furniture else len(text) / max(1, tags) for text, tags, _, furniture, _ in lines]
+    parser.end()
+    lines, tag_of, parent_of, hidden = parser.lines, parser.tag_of, parser.parent_of, parser.hidden()
+    ratios = [0.0 if hidden[at] else len(text) / max(1, tags) for text, tags, _, at in lines]
     if not any(ratios):
         return ""
     smooth = smoothed(ratios)
     mean = sum(smooth) / len(smooth)
     threshold = min(LAMBDA * math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth)), max(smooth) * 0.5)
-    held: dict[int, int] = {}
-    total = 0
-    for (text, _, linked, furniture, around), s in zip(lines, smooth, strict=True):
-        if not furniture and s >= threshold and linked <= LINKS * len(text):
-            total += len(text)
-            for n in around:
-                held[n] = held.get(n, 0) + len(text)
-    region, named = None, False
-    for n, size in held.items():
-        if tags_of[n] in REGIONS and size >= ARTICLE_HOLDS * total and (not named or size > held[region]):
-            region, named = n, True
+    high = [not hidden[at] and s >= threshold and linked <= LINKS * len(text) for (text, _, linked, at), s in zip(lines, smooth, strict=True)]
+    own = [yes and r >= threshold for yes, r in zip(high, ratios, strict=True)]
+    if any(own):  # a short line that is only smoothed up by its neighbours doesn't say where the content is
+        high = own
+    held = [0] * len(tag_of)
+    for (text, _, _, at), yes in zip(lines, high, strict=True):
+        held[at] += len(text) * yes
+    for n in range(len(held) - 1, 0, -1):  # an element comes before what lies in it
+        held[parent_of[n]] += held[n]
+    total = held[0]
+    outermost = [False] * len(tag_of)  # in an article or main: the outermost such element, or within
+    regions = set()
+    for n in range(1, len(tag_of)):
+        outermost[n] = outermost[parent_of[n]]
+        if tag_of[n] in REGIONS and not outermost[n] and not hidden[n]:
+            outermost[n] = True
+            if held[n]:
+                regions.add(n)
+    named = sum(held[n] for n in regions) >= ARTICLE_HOLDS * total
     if not named:
-        deep = [n for n, size in held.items() if size >= HOLDS * total and tags_of[n] not in INLINE and tags_of[n] not in CLOSED_BY_ITSELF]
-        region = max(deep, default=None)
+        core = max((n for n in range(len(tag_of)) if held[n] >= HOLDS * total and tag_of[n] not in INLINE and tag_of[n] not in CLOSED_BY_ITSELF), default=0)
+        while tag_of[core] in TEXT_BLOCKS:
+            core = parent_of[core]
+        regions = {core}
+    around = max((n for n in range(len(tag_of)) if held[n] == total and n <= min(regions)), default=0)  # the smallest element around all of it
+    inside, near = [n in regions for n in range(len(tag_of))], [n == around for n in range(len(tag_of))]
+    headed = [tag in HEADINGS for tag in tag_of]
+    for n in range(1, len(tag_of)):
+        inside[n] |= inside[parent_of[n]]
+        near[n] |= near[parent_of[n]]
+        headed[n] |= headed[parent_of[n]]
     kept = []
-    for text, _, linked, furniture, around in lines:
-        if not furniture and (region is None or region in around) and (named or linked <= LINKS * len(text)):
+    for (text, _, linked, at), yes in zip(lines, high, strict=True):
+        if hidden[at] or not (named or linked <= LINKS * len(text)):
+            continue
+        if inside[at] or (not named and near[at] and (yes or headed[at])):
             kept.append(text)
     return "\n".join(kept)
 
@@ -182,8 +235,9 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
     """Each row's `keep` columns, text and n_chars (code points).
 
     A null or empty html, or a page with nothing but furniture, has the empty
-    text; malformed markup is taken as the parser's events give it; repeated rows
-    give repeated results, and no other column is read.
+    text; malformed markup is taken as the parser's events give it; a page of any length
+    or depth is read whole, in linear time; repeated rows give repeated results, an empty
+    table none, and no other column is read (text and n_chars may not be among `keep`).
     """
     from pyspark.sql import types as T
 

@@ -144,3 +144,35 @@ def test_queries_read_no_labels_of_held_out_rows(spark):
     flipped = labels.withColumn("toxic", F.when(F.col("doc_id") % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.train(docs.where("doc_id % 5 <> 0"), x.where("doc_id % 5 <> 0")) for x in (labels, flipped))
     assert a[0] == b[0]
+
+
+LONG = "A sentence of an article that goes on, with many words in it, so that it counts as text. " * 3
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<main><article><p>{LONG}</p><p>{LONG}</p></article><section id=comments><article class=comment><p>{LONG} reader</p></article></section></main>", [LONG, LONG]),
+        (f"<aside><article class=teaser><p>{LONG} teaser</p></article></aside><article><p>{LONG}</p></article>", [LONG]),
+        (f"<nav><ul><li><a href=/>Home</a></li></ul><p>{LONG}</p><p>{LONG}</p>", [LONG, LONG]),
+        (f"<article><p>one line<br>and {LONG}</p></article>", [f"one line and {LONG}"]),
+        (f"<div id=main><h1>Title</h1><div class=lead><p>{LONG}</p></div><div class=body>{f'<p>{LONG}</p>' * 6}</div></div><div>short</div>", ["Title", *[LONG] * 7]),
+        (f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article>", [LONG, LONG]),
+        (f"<div class='content has-sidebar'><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div>", [LONG]),
+        (f"<article><p>{LONG}</p><figure><img src=x><figcaption>A caption</figcaption></figure></article>", [LONG, "A caption"]),
+        (f"<article><header><h1>Title</h1><p>By somebody</p></header><p>{LONG}</p><footer>foot</footer></article>", ["Title", LONG]),
+    ],
+)
+def test_regions_of_pages(html, want):
+    assert html_text.main_text(f"<html><body>{html}</body></html>") == "\n".join(w.strip() for w in want)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert html_text.main_text("<body>" + "<div>x" * n + LONG + "</i>" * n).endswith(LONG.strip())
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]

@@ -5,9 +5,10 @@ says little; what counts is the share of the item's shingles that the document
 holds. Items are partitioned by the size of their shingle set. An item of q
 shingles is signed by its bottom-k MinHash values with k = floor(q (1 - c)) + 1:
 a document that holds the share c of the item lacks at most k - 1 of its
-shingles, so it holds one of these k. Each partition has its cut in the hash
-space, the largest of its items' signatures, and a document is sketched by its
-shingle hashes up to the widest cut. A hash that both sketches hold makes a
+shingles, so it holds one of these k. A document meets the partitions of the sizes
+that it can hold: these have a cut in the hash space, the largest of their items'
+signatures, and a bitmap of the signatures' low bits, and the document is sketched by
+its shingle hashes up to the cut whose bit is set. A hash that both sketches hold makes a
 candidate, which is verified by exact containment of the shingle strings.
 
 DataFrame functions only. Documents are never shuffled while the signatures
@@ -20,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, small, table
+from quillon.llm.common import durable, fresh, small, table
 from quillon.llm.text import SHINGLE, words
 
 #: Least share of an item's shingles, in hundredths.
 CONTAINED = 75
+#: Bits of a partition's bitmap for each signature, and the least and greatest bitmap, as powers of two (1 MB; a row for each power of two of sizes).
+BITMAP_BITS, BITMAP_LEAST, BITMAP_MOST = 16, 12, 23
 
 
 def hashes(ws: Column) -> Column:
@@ -53,16 +56,41 @@ def own_print(docs: DataFrame) -> Column:
     return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
 
+def partitions(signed: DataFrame, n_signed: int) -> tuple[DataFrame, list[int]]:
+    """(rank, cut, bitmap) for each size class: of the signatures of the items up to that class; and the classes' least sizes, in order."""
+    power = min(BITMAP_MOST, max(BITMAP_LEAST, (n_signed * BITMAP_BITS).bit_length()))
+    words = 1 << (power - 6)
+    facts = signed.groupBy("size_class").agg(F.min("n").alias("least")).orderBy("size_class").collect()  # a row for each power of two
+    if not facts:
+        return signed.select(F.lit(1).alias("rank"), F.col("h").alias("cut"), F.array("h").alias("bitmap")), []
+    ranks = F.array(*[F.lit(r["size_class"]) for r in facts])
+    upto = signed.select("h", F.explode(F.sequence(F.array_position(ranks, F.col("size_class")).cast("int"), F.lit(len(facts)))).alias("rank"))
+    low = F.col("h").bitwiseAND(F.lit((1 << power) - 1))
+    each = upto.groupBy("rank", F.shiftright(low, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"), F.max("h").alias("cut"))
+    spread = each.groupBy("rank").agg(F.max("cut").alias("cut"), F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("set"))
+    # the words between those that are set are zero
+    gaps = F.transform("set", lambda s, i: F.concat(F.array_repeat(F.lit(0).cast("long"), s["word"] - F.when(i > 0, F.get(F.col("set"), i - 1)["word"] + 1).otherwise(0)), F.array(s["bits"])))
+    last = F.array_repeat(F.lit(0).cast("long"), F.lit(words - 1) - F.element_at("set", -1)["word"])
+    return spread.select("rank", "cut", F.concat(F.flatten(gaps), last).alias("bitmap")), [r["least"] for r in facts]
+
+
 def holding(docs: DataFrame, items: DataFrame, contained: int = CONTAINED) -> DataFrame:
     """doc_id, own (see own_print), item_id, n_item, shared: rows and the items they hold, repeated for repeated ids."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     signed = durable(signatures(items, contained), "leak-signatures")
-    facts = signed.groupBy("size_class").agg(F.max("h").alias("cut"), F.count("*").alias("rows")).collect()  # a row for each power of two
-    n_signed, cut = sum(r["rows"] for r in facts), max((r["cut"] for r in facts), default=-(2**63))
+    n_signed = signed.count()
+    parts, least = partitions(signed, n_signed)
+    parts = durable(parts, "leak-partitions")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own_print(docs).alias("own")).withColumn("ws", words(F.col("text")))
-    sketch = slim.select("doc_id", "own", F.size("ws").alias("n_words"), F.explode(F.filter(hashes(F.col("ws")), lambda h: h <= cut)).alias("h"))
-    met = sketch.join(small(signed, n_signed), "h").where(F.greatest(F.lit(1), F.col("n_words") - (SHINGLE - 1)) * 100 >= F.col("n") * contained)
-    found = durable(met.select("doc_id", "own", "item_id").distinct(), "leak-candidates")
+    size = F.greatest(F.lit(1), F.size("ws") - (SHINGLE - 1))
+    rank = F.lit(0)
+    for i, n in enumerate(least):  # the last partition whose smallest items the document can hold
+        rank = F.when(size * 100 >= n * contained, F.lit(i + 1)).otherwise(rank)
+    bit = lambda h: F.getbit(F.get(F.col("bitmap"), F.shiftright(h.bitwiseAND(F.size("bitmap") * 64 - 1), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+    met = slim.withColumn("rank", rank).join(F.broadcast(parts), "rank")  # a row for each power of two
+    sketch = met.select("doc_id", "own", size.alias("m"), F.explode(F.filter(hashes(F.col("ws")), lambda h: (h <= F.col("cut")) & bit(h))).alias("h"))
+    found = sketch.join(small(signed, n_signed), "h").where(F.col("m") * 100 >= F.col("n") * contained)
+    found = durable(found.select("doc_id", "own", "item_id").distinct(), "leak-candidates")
     n_found = found.count()
     texts = items.select("item_id", shingles(words(F.col("text"))).alias("item_set"))
     # only ids are broadcast; the few documents that stay then meet their candidates by key
@@ -90,10 +118,12 @@ def leaks(docs: DataFrame, items: DataFrame, contained: int = CONTAINED) -> Data
 
 
 def clean(docs: DataFrame, items: DataFrame, contained: int = CONTAINED) -> DataFrame:
-    """The documents, all columns as they are, that hold no item. Rows under one doc_id are one document and go together;
-    a row whose doc_id is null is a document of its own and goes only if its own text holds one."""
-    bad = durable(holding(docs, items, contained).select(F.col("doc_id").alias("bad_id"), F.col("own").alias("bad_own")).distinct(), "leak-documents")
-    return docs.join(small(bad, bad.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & own_print(docs).eqNullSafe(F.col("bad_own")), "left_anti")
+    """The documents, all columns as they are and whatever their names, that hold no item. Rows under one doc_id are one document
+    and go together; a row whose doc_id is null is a document of its own and goes only if its own text holds one. Texts of any
+    length are searched whole; without documents or items the documents come back as they are."""
+    id_, own_ = fresh(docs, "id", "own")
+    found = durable(holding(docs, items, contained).select(F.col("doc_id").alias(id_), F.col("own").alias(own_)).distinct(), "leak-documents")
+    return docs.join(small(found, found.count()), F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & own_print(docs).eqNullSafe(F.col(own_)), "left_anti")
 
 
 def op6_decontamination(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Words and shingles: JVM expressions, and the same over byte buffers in numpy.
 
-A word is a run of anything but the six ASCII white space characters, with A-Z
-in lower case; a shingle is five words in a row, or the whole sequence where
+A word is a run of anything but the six ASCII white space characters, in lower case
+(in numpy A-Z alone, as the join of documents asks for); a shingle is five words in a row, or the whole sequence where
 there are fewer (and at least one).
 """
 
@@ -21,15 +21,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def shingle_hashes(ws: Column, size: int = SHINGLE) -> Column:
-    """Distinct 64-bit hashes of the shingles of an array of words."""
-    each = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - size + 1)),
-        lambda i: F.xxhash64(*[F.get(ws, (i + k - 1).cast("int")) for k in range(size)]),
-    )
-    return F.when(F.size(ws) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<long>"))
-
-
 #: What numpy takes for white space, and A-Z in lower case.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

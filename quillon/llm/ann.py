@@ -7,13 +7,18 @@ its own nearest pivots only, adds up |its position - the vector's position|
 (the footrule distance over those pivots), keeps the closest share of each
 block and reranks it by the exact inner product of the original vectors.
 
+Files aren't cut after a vector's nearest pivots: on vectors that are spread evenly over
+many dimensions (as the given ones) lists so short that a query reads an eighth of all
+postings hold at most 0.7 of its 20 nearest, whatever is reranked.
+
 Inner product is turned into a distance by one more coordinate that gives all
-vectors the norm of the longest; for unit vectors it is zero throughout.
+vectors the norm of the longest; for unit vectors it is zero throughout. Where
+lengths differ, what a vector lacks counts as zero.
 
-Scale: equal vectors are collapsed first (salted, so that a vector that a third
-of all rows share never meets in one task) and expanded after the search; of a
-group of equal vectors only the k + 1 smallest ids can ever be among the k
-nearest, so keeping those is exact. Blocks of the index meet blocks of the
+Scale: equal vectors are collapsed first (each task passes on the k + 1 smallest ids
+only, so a vector that a third of all rows share never meets in one task) and
+expanded after the search; of a group of equal vectors no other ids can be among the k
+nearest, so keeping those is exact. Blocks of the index (vectors of like length) meet blocks of the
 queries by key; neither side is broadcast, and a group holds at most
 block_rows + query_rows vectors.
 """
@@ -25,36 +30,53 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, table
+from quillon.llm.common import durable, small, table
 
 #: Rows of one index block and of one query block.
 BLOCK_ROWS, QUERY_ROWS = 4096, 4096
 #: Pivots, the nearest of them whose files a query reads, share of a block that is reranked.
 PIVOTS, READ_FILES, RERANK_SHARE, RERANK_LEAST = 256, 96, 0.08, 128
-SALTS = 256
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): vectors of finite components that aren't all zero, of the
-    commonest length (ties: the longer). The rest take no part."""
+    """(vec_id, v): vectors of finite components that aren't all zero, the smallest of those under one id. The rest take no part."""
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     good = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     )
-    sizes = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return good.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    twice = durable(good.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "ann-repeated")
+    n = twice.count()
+    if not n:
+        return good
+    one = good.join(small(twice, n), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return good.join(small(twice, n), "vec_id", "left_anti").unionByName(one)
+
+
+def padded(rows, width: int | None = None) -> np.ndarray:
+    """Vectors as a matrix, as wide as the longest (or cut or filled to a width)."""
+    width = max(map(len, rows)) if width is None else width
+    out = np.zeros((len(rows), width))
+    for i, v in enumerate(rows):
+        out[i, : min(width, len(v))] = v[:width]
+    return out
+
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows, where what one is longer counts as zero in the other."""
+    n = min(x.shape[1], y.shape[1])
+    return x[:, :n] @ y[:, :n].T
 
-def pick_pivots(distinct: DataFrame, pivots: int, longest: float) -> np.ndarray:
-    """A bounded sample: the vectors with the smallest hashes of their ids."""
-    rows = distinct.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("v").collect()
-    x = np.array([r["v"] for r in rows], dtype=np.float64)
-    return with_norm(x, longest)
 
+def pick_pivots(distinct: DataFrame, pivots: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """A bounded sample: the vectors with the smallest hashes of their ids; and their last coordinate."""
+    x = padded([r["v"] for r in distinct.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("v").collect()])
+    return x, lifted(x, longest)
 
-def with_norm(x: np.ndarray, longest: float) -> np.ndarray:
-    return np.hstack([x, np.sqrt(np.maximum(0.0, longest**2 - (x * x).sum(1)))[:, None]])
+
+def lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """The coordinate that gives vectors the norm of the longest."""
+    return np.sqrt(np.maximum(0.0, longest**2 - (x * x).sum(1)))
 
 
 def positions(distances: np.ndarray) -> np.ndarray:
@@ -67,10 +89,10 @@ def positions(distances: np.ndarray) -> np.ndarray:
 
 def search_block(index_ids, x, query_ids, q, pivots, longest, k, read_files, share, least):
     """The k best distinct vectors of one block for each query of one block."""
-    files = np.ascontiguousarray(positions(-(with_norm(x, longest) @ pivots.T)).T)  # pivot -> position in each row's order
-    norms = np.linalg.norm(q, axis=1, keepdims=True)
-    flat = np.hstack([q / norms, np.zeros((len(q), 1))])
-    mine = positions(-(flat @ pivots.T))
+    spots, last = pivots
+    files = np.ascontiguousarray(positions(-(products(x, spots) + np.outer(lifted(x, longest), last))).T)  # pivot -> position in each row's order
+    mine = positions(-products(q / np.linalg.norm(q, axis=1, keepdims=True), spots))
+    x, q = x[:, : q.shape[1]], q[:, : x.shape[1]]
     take = min(len(x), max(k, least, int(np.ceil(len(x) * share))))
     nearest = np.argsort(mine, axis=1, kind="stable")[:, : min(read_files, mine.shape[1])]
     out_q, out_x, out_s = [], [], []
@@ -113,35 +135,38 @@ def nearest(
     """query_id, rank, vec_id, score: the k nearest rows by inner product for
     every row for which is_query(its id column) holds, its own id excluded.
 
-    Null, zero, non-finite vectors and those of another length take no part, as
-    query or candidate; an empty table gives an empty result; ties go to the
-    smaller id; rows repeated under one id count once; further columns are ignored.
+    Null, zero and non-finite vectors take no part, as query or candidate; what a
+    shorter vector lacks counts as zero; an empty table gives an empty result; ties go
+    to the smaller id; rows repeated under one id count once, with the smallest of
+    their vectors; further columns are ignored, whatever their names.
     """
     spark = rows.sparkSession
     good = usable(rows, id_col, vector_col)
-    ids = (
-        good.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt"))
-        .agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("some"))
-        .groupBy("v")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, k + 1).alias("members"))
-        .withColumn("rep", F.col("members")[0])
-    )
-    ids = durable(ids, "ann-vectors")
+    order = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    few = good.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    ids = few.groupBy(F.xxhash64("v").alias("hash"), "v").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
+    ids = durable(ids.select("v", "members", F.col("members")[0].alias("rep"), F.ceil(F.log2(F.size("v"))).cast("int").alias("kind")), "ann-vectors")
     facts = ids.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
     n, longest = facts["n"], facts["longest"] or 1.0
     schema = "query_id long, rep long, score double"
-    asked = good.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
+    asked = good.where(is_query(F.col("vec_id")))
     if n:
         chosen = pick_pivots(ids, pivots, longest)
-        blocks, groups = -(-n // block_rows), max(1, -(-asked.count() // query_rows))
-        index = ids.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qb"))
+        # blocks of vectors whose lengths lie between the same powers of two
+        kinds = {r["kind"]: -(-r["n"] // block_rows) for r in ids.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        blocks, groups = sum(kinds.values()), max(1, -(-asked.count() // query_rows))
+        block, before = F.lit(0), 0
+        for kind, of_kind in sorted(kinds.items()):
+            block = F.when(F.col("kind") == kind, before + F.pmod(F.xxhash64("rep"), F.lit(of_kind))).otherwise(block)
+            before += of_kind
+        index = ids.select("rep", "v", block.cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qb"))
         queries = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ib"))
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"query_id": [], "rep": [], "score": []})
             found = search_block(
-                left["rep"].to_numpy(), np.stack(left["v"].to_numpy()), right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()),
+                left["rep"].to_numpy(), padded(left["v"].to_numpy()), right["vec_id"].to_numpy(), padded(right["v"].to_numpy()),
                 chosen, longest, k + 1, read_files, rerank_share, rerank_least,
             )
             return pd.DataFrame(dict(zip(("query_id", "rep", "score"), found, strict=True)))

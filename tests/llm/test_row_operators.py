@@ -176,3 +176,29 @@ def test_deep_pages_take_linear_time():
         assert html_text.main_text("<body>" + "<div>x" * n + LONG + "</i>" * n).endswith(LONG.strip())
         took.append(time.process_time() - began)
     assert took[1] < 12 * took[0]
+
+
+def test_whole_words_and_letters_only(spark):
+    """Long words are scored whole, in scaled numbers; what isn't a letter is no word."""
+    pieces = langid.Pieces(packing.public_path("piece_bpe_32k.model"))
+    p = langid.normal(np.random.default_rng(2).random((pieces.size, 2)))
+
+    def brute(word):
+        total = [np.ones(2)]
+        for end in range(1, len(word) + 1):
+            parts = [total[end - n] * p[pieces.number[word[end - n : end]]] for n in range(1, min(end, pieces.longest) + 1) if word[end - n : end] in pieces.number]
+            total.append(sum(parts, total[end - 1] * p[1] if word[end - 1] not in pieces.number else np.zeros(2)))
+        return np.log(total[-1])
+
+    words = ["▁" + w for w in ("internationalisation", "a", "qü", "abcdefgh" * 5)]
+    assert np.allclose(pieces.lattice(words).sums(p), [brute(w) for w in words])
+    long = pieces.lattice(["▁" + "abcde" * 4000, "▁abcde"]).sums(p)
+    assert np.isfinite(long).all() and (long[0] < 1000 * long[1]).all()
+    assert langid.words_of("½ ² ① x½y Straße 3a_b") == ["x", "y", "straße", "a", "b"]
+    docs = spark.createDataFrame([(i, w * 5, lang) for i in range(40) for w, lang in (("the cat and ", "en"), ("und der hund ", "de"))], "doc_id long, text string, lang string")
+    languages, q = langid.train(docs, pieces)
+    odd = spark.createDataFrame([(1, "½ ² ①"), (2, "und " * 9)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, languages, q, packing.public_path("piece_bpe_32k.model"), ["doc_id"]).collect()}
+    assert got == {1: "und", 2: "de"}
+    assert langid.identify(odd.limit(0), languages, q, packing.public_path("piece_bpe_32k.model"), ["doc_id"]).count() == 0
+    assert langid.train(docs.limit(0), pieces)[0] == []

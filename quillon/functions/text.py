@@ -24,9 +24,14 @@ def utf16_less(a: Column, b: Column) -> Column:
     return utf16(a) < utf16(b)
 
 
-def ecma_number(x: Column) -> Column:
+def signed(x: Column) -> Column:
+    """Whether a number, a zero too, has a sign."""
+    return x.cast("string").startswith("-")
+
+
+def ecma_number(x: Column, signed_zero: bool = False) -> Column:
     """ECMAScript's spelling of a finite double: integers plainly below 1e21, a point and
-    the shortest digits from 1e-6 on, an exponent beyond; both zeros are 0."""
+    the shortest digits from 1e-6 on, an exponent beyond; both zeros are 0, or -0 keeps its sign."""
     text = x.cast("string")
     mantissa = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)", 1), r"\.0$", "")
     exponent = F.when(text.contains("E"), F.regexp_extract(text, r"E(-?[0-9]+)$", 1)).otherwise("0").cast("int")
@@ -35,7 +40,13 @@ def ecma_number(x: Column) -> Column:
     point = F.when(mantissa.contains("."), F.instr(mantissa, ".") - 1).otherwise(F.length(mantissa)) + exponent
     lead = F.length(F.regexp_extract(digits, r"^(0*)", 1))
     bare = F.regexp_replace(F.regexp_replace(digits, r"^0+", ""), r"0+$", "")
-    at, n = point - lead, F.length(bare)
+    # Java gives two digits where one would do; they differ for the least doubles only, as 4.9E-324
+    one = F.round(F.when(F.length(bare) == 2, bare).cast("int") / 10).cast("int")
+    short = F.concat(one.cast("string"), F.lit("E"), (point - lead - 1).cast("string")).cast("double") == F.abs(x)
+    short = (F.abs(x) < 1e-300) & F.coalesce(short, F.lit(False))
+    at = point - lead + F.when(short & (one == 10), 1).otherwise(0)
+    bare = F.when(short, F.regexp_replace(one.cast("string"), "0$", "")).otherwise(bare)
+    n = F.length(bare)
     plain = (
         F.when((at >= n) & (at <= 21), F.rpad(bare, at, "0"))
         .when((at > 0) & (at < n), F.concat(F.substring(bare, F.lit(1), at), F.lit("."), F.substring(bare, at + 1, n)))
@@ -47,11 +58,12 @@ def ecma_number(x: Column) -> Column:
             )
         )
     )
-    return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), plain))
+    zero = F.when(signed(x), "-0").otherwise("0") if signed_zero else F.lit("0")
+    return F.when(x == 0, zero).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), plain))
 
 
 #: What a text may consist of to stand bare in the compact encoding; fixed value.
-BARE = r"^[A-Za-z_][A-Za-z0-9_.:-]*$"
+BARE = r"^[A-Za-z_][A-Za-z0-9_.-]*$"
 
 
 def quoted(text: Column) -> Column:
@@ -59,6 +71,10 @@ def quoted(text: Column) -> Column:
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for plain, escape in (("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(plain), F.lit(escape))
+    rest = out
+    for code in (c for c in range(32) if chr(c) not in "\b\f\n\r\t"):
+        rest = F.replace(rest, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    out = F.when(out.rlike(r"[\x00-\x1f]"), rest).otherwise(out)
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 

@@ -11,7 +11,7 @@ from quillon.operators import datasets, generate, rules
 from quillon.operators.generate import Field
 from quillon.queries.cases import CASES, SCORED, SUPPORT, policy, ruled, scored, table
 from quillon.queries.registry import query
-from quillon.sources import json_records
+from quillon.sources import canonical, json_records
 from quillon.streaming import events as streams
 
 _RECORD = T.StructType([T.StructField("size", T.DoubleType(), False), T.StructField("brand", T.StringType(), False), T.StructField("kind", T.StringType(), False), T.StructField("large", T.BooleanType(), False)])
@@ -23,18 +23,18 @@ def _record(spark, sf_dir):
     return p.select("p_partkey", r.alias("r"))
 
 
-_BARE = "CASE WHEN regexp_full_match({c}, '[A-Za-z_][A-Za-z0-9_.:-]*') THEN {c} ELSE '\"' || {c} || '\"' END"
-_COMPACT = "'{brand=' || " + _BARE.format(c="p_brand") + " || ',kind=' || " + _BARE.format(c="p_type") + " || ',large=' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END || ',size=' || p_size || '}'"
+_BARE = "CASE WHEN regexp_full_match({c}, '[A-Za-z_][A-Za-z0-9_.-]*') THEN {c} ELSE '\"' || {c} || '\"' END"
+_COMPACT = "'size=' || p_size || ' brand=' || " + _BARE.format(c="p_brand") + " || ' kind=' || " + _BARE.format(c="p_type") + " || ' large=' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END"
 
 
 @query(f"SELECT p_partkey, {_COMPACT} AS text FROM part")
 def canonical_compact(spark, sf_dir):
-    return _record(spark, sf_dir).select("p_partkey", json_records.compact(F.col("r"), _RECORD).alias("text"))
+    return _record(spark, sf_dir).select("p_partkey", canonical.compact_inputs(F.col("r"), _RECORD).alias("text"))
 
 
 @query(f"SELECT p_partkey, sha256({_COMPACT}) AS digest FROM part")
 def input_digest(spark, sf_dir):
-    return _record(spark, sf_dir).select("p_partkey", json_records.input_digest(F.col("r"), _RECORD).alias("digest"))
+    return _record(spark, sf_dir).select("p_partkey", canonical.input_digest(F.col("r"), _RECORD).alias("digest"))
 
 
 @query("SELECT o_orderkey, CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS whole, CASE WHEN round(o_totalprice * 100) % 100 = 0 THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END AS price FROM orders")

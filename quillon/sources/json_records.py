@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.numeric import ieee_hex, is_finite
-from quillon.functions.text import compact_text, ecma_number
 
 
 class StrictJsonError(ValueError):
@@ -100,25 +99,9 @@ def json_schema(schema: T.StructType) -> dict:
     return of(schema)
 
 
-def compact(value: Column, kind: T.DataType) -> Column:
-    """The compact text of a value by its type: fields in byte order of their names."""
-    if isinstance(kind, T.StructType):
-        parts = []
-        for f in sorted(kind.fields, key=lambda f: f.name.encode()):
-            text = F.concat(F.lit(f.name + "="), compact(value[f.name], f.dataType))
-            parts.append(F.when(value[f.name].isNotNull(), text) if f.nullable else text)
-        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    if isinstance(kind, T.ArrayType):
-        return F.concat(F.lit("["), F.array_join(F.transform(value, lambda v: compact(v, kind.elementType)), ","), F.lit("]"))
-    if isinstance(kind, T.BooleanType):
-        return value.cast("string")
-    if isinstance(kind, T.NumericType):
-        return ecma_number(value.cast("double"))
-    return compact_text(value)
-
-
 def typed(value: Column, kind: T.DataType) -> Column:
-    """The typed text of a value: numbers by their bits, so that -0 and 0 differ."""
+    """A self-describing text of a value for digests of our own: numbers by their bits, so that -0 and 0 differ. The
+    canonical encodings of inputs are in `canonical`."""
     if isinstance(kind, T.StructType):
         parts = [F.concat(F.lit(json.dumps(f.name) + ":"), typed(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name.encode())]
         return F.concat(F.lit('{"object":{'), F.concat_ws(",", *parts), F.lit("}}"))
@@ -131,10 +114,6 @@ def typed(value: Column, kind: T.DataType) -> Column:
     return F.concat(F.lit('{"string":'), F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2), F.lit("}"))
 
 
-def input_digest(value: Column, kind: T.DataType) -> Column:
-    return F.sha2(compact(value, kind), 256)
-
-
 def typed_digest(value) -> str:
     """The digest of any JSON value on the driver: keys sorted by UTF-8, numbers by their bits."""
     def spell(v) -> str:

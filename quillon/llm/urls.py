@@ -9,7 +9,8 @@ seeds: who links to bad hosts is suspect). Edges go between hosts: from the
 absolute links of the pages, and between a host and the domain right above it
 where both have pages. Both walks go on until what they could still move is a
 hundredth of an average host's rank. A host is blocked where its distrust, on the
-scale of an average host, exceeds a least value and `margin` times its trust.
+scale of an average host, exceeds a least value, and, a blocked page weighing as much as
+an allowed one, `margin` times its trust.
 
 DataFrame functions only. Pages are read once for their links and counted into
 host edges with partial sums; both walks share one join per step, over tables
@@ -141,8 +142,11 @@ def judged(pages: DataFrame, rules=RULES, steps: int | None = None, damping: flo
     seeds = durable(per_host, "url-hosts")
     edges = durable(host_edges(own.select("host", "html")), "url-edges")
     ranks = propagated(edges, seeds, steps, damping)
-    n = F.lit(float(max(1, seeds.count())))
-    bad = durable(ranks.where((F.col("distrust") > F.col("trust") * margin) & (F.col("distrust") * n > least)).select(F.col("host").alias(name)), "url-bad")
+    facts = seeds.agg(F.count("*").alias("hosts"), F.sum("trust").alias("allowed"), F.sum("distrust").alias("blocked")).first()
+    n = F.lit(float(max(1, facts["hosts"])))
+    # each walk sums to one: weighed by its seeds, a blocked page counts as much as an allowed one
+    worse = F.col("distrust") * F.lit(facts["blocked"] or 0.0) > F.col("trust") * F.lit((facts["allowed"] or 0.0) * margin)
+    bad = durable(ranks.where(worse & (F.col("distrust") * n > least)).select(F.col("host").alias(name)), "url-bad")
     open_ = own.join(small(bad, bad.count()), F.col("host") == F.col(name), "left")
     return open_.withColumn("verdict", F.coalesce("verdict", F.when(F.col(name).isNotNull(), F.lit("block")).otherwise(F.lit("allow")))).drop(name)
 

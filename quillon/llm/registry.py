@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.ORACLE,
+    "op9_partenum_join": partenum.ORACLE,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ordering import positioned, positioned_within
 from quillon.sources.shared import checkpointed
 
 
@@ -59,12 +60,12 @@ def merged_groups(rows: DataFrame, key: str, group: str, checkpoint=None) -> Dat
 def held_out_groups(groups: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """group, evaluation: whole groups by the rank of their seeded digest, the prefix of ranks whose
     rows come nearest the target (ties: fewer groups); groups with gold rows always train.
-    groups: group (text), n, gold. One ordered pass over the groups' table, not over rows."""
+    groups: group (text), n, gold."""
     key = F.sha2(F.concat(F.unhex(F.lit(f"{seed:016x}")), F.unhex(F.lit("00")), F.col("group").cast("binary")), 256)
     totals = groups.agg(F.sum("n").alias("rows"), F.count("*").alias("groups"), F.max("gold").alias("any_gold"))
     free = groups.where(~F.col("gold")).withColumn("key", key)
-    w = Window.orderBy("key", "group")
-    ranked = free.select("group", "n", F.row_number().over(w).alias("rank"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.count("*").over(Window.partitionBy()).alias("free"))
+    ranked = positioned(free.select("group", "n", "key"), [F.col("key"), F.col("group")], {"upto": "n"})
+    ranked = ranked.crossJoin(F.broadcast(free.agg(F.count("*").alias("free")))).select("group", "n", F.col("position").alias("rank"), "upto", "free")
     target = F.greatest(F.lit(1), F.least(F.col("rows") - 1, F.floor(F.col("rows") * ratio + 0.5)))
     open_ = ranked.crossJoin(F.broadcast(totals)).where((F.col("groups") >= 2) & (F.col("rank") <= F.when(F.col("any_gold"), F.col("free")).otherwise(F.col("free") - 1)))
     best = open_.agg(F.min(F.struct(F.abs(F.col("upto") - target).alias("gap"), F.col("rank"))).alias("b")).select(F.col("b.rank").alias("chosen"))
@@ -75,7 +76,7 @@ def held_out_groups(groups: DataFrame, ratio: float, seed: int = 0) -> DataFrame
 def top_by_digest(df: DataFrame, digest: str, ratio: float) -> DataFrame:
     """The floor(n ratio + 1/2) rows with the smallest digests."""
     total = df.agg(F.floor(F.count("*") * ratio + 0.5).alias("keep"))
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(digest)))
+    ranked = positioned(df, [F.col(digest)]).withColumn("rank", F.col("position").cast("int")).drop("position")
     return ranked.crossJoin(F.broadcast(total)).where("rank <= keep").drop("keep")
 
 
@@ -98,14 +99,14 @@ def stratified_with_fallback(df: DataFrame, bucket: str, tier: str, order: list[
 
 
 def interleaved(df: DataFrame, queue: str, order: list[str]) -> DataFrame:
-    """Round robin over queues: turn and queue order the rows."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(queue).orderBy(*order)))
+    """Round robin over queues: turn and queue order the rows. A long queue is ranked in ranges, not in one task."""
+    return positioned_within(df, [queue], [F.col(c) for c in order], "turn")
 
 
 def shuffled_batches(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
     """position, batch: a seeded order by digest, in batches."""
-    w = Window.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key)
-    return df.withColumn("position", F.row_number().over(w)).withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long"))
+    order = [F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), F.col(key)]
+    return positioned(df, order).withColumn("position", F.col("position").cast("int")).withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long"))
 
 
 def same_multiset(a: DataFrame, b: DataFrame) -> bool:

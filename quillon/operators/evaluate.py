@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import numeric as N
+from quillon.operators.ordering import positioned, positioned_within
+from quillon.sources.shared import checkpointed
 
 
 def bins(df: DataFrame, confidence: Column, correct: Column, by: tuple[str, ...] = (), n: int = 15) -> DataFrame:
@@ -40,10 +42,8 @@ def nearest_rank(value: str, q: float) -> Column:
 
 def truncated_rank(df: DataFrame, value: str, q: float) -> DataFrame:
     """The value at place int(q (n - 1)) from 0 of the sorted values: by position among sorted distinct values, without one task for all rows."""
-    from pyspark.sql import Window
-
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    upto = positioned(counts, [F.col(value)], {"upto": "n"})
     total = counts.agg(F.sum("n").alias("total"))
     place = F.floor(F.lit(q) * (F.col("total") - 1)) + 1
     return upto.crossJoin(F.broadcast(total)).where(F.col("upto") >= place).agg(F.min(value).alias(value))
@@ -60,6 +60,7 @@ def temperature_losses(df: DataFrame, logits: str, target: str, betas: list[floa
 def fit_temperature(df: DataFrame, logits: str, target: str, low: float = 0.05, high: float = 20.0, rounds: int = 5, points: int = 9) -> float:
     """One temperature by a search over its inverse that narrows in rounds; every round is one
     aggregation over all rows. Losses equal to nine digits count as ties and go to the temperature nearest one."""
+    df = checkpointed(df.select(logits, target))  # scored once, read by every round
     a, b = math.log(1 / high), math.log(1 / low)
     best = 0.0
     for _ in range(rounds):
@@ -103,10 +104,17 @@ def go_no_go(metrics: DataFrame, candidate: str, comparator: str, required: list
 
 
 def ordered_digest(key: str, text: str) -> Column:
-    """A digest of all rows' texts in key order."""
+    """A digest of all rows' texts in key order: of one text, so for groups that fit a buffer; others have block_digest."""
     return F.sha2(F.expr(f"listagg({text}, '\n') WITHIN GROUP (ORDER BY {key})"), 256)
 
 
+def block_digest(df: DataFrame, group: str, key: str, text: str, rows: int = 10_000) -> DataFrame:
+    """group, digest: the digest of the digests of blocks of so many rows in key order, so that no task holds a group."""
+    placed = positioned_within(df.select(group, key, text), [group], [F.col(key)])
+    blocks = placed.groupBy(group, F.floor((F.col("position") - 1) / rows).alias("block")).agg(ordered_digest(key, text).alias("digest"))
+    return blocks.groupBy(group).agg(ordered_digest("block", "digest").alias("digest"))
+
+
 def rule_coverage(df: DataFrame, rules: int, boundary: Column, prefix: str = "rule_") -> DataFrame:
     """Per rule: how often it holds or not, on boundary rows and inside; shortfall where one never occurs."""
     parts = [F.struct(F.lit(i).alias("rule"), F.col(f"{prefix}{i}").alias("held")) for i in range(rules)]

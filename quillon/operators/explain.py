@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import jaccard_distance, word_set
 
+#: Queries that are sent to every task; candidates of a block where there are more.
+MOST_SENT, BLOCK_ROWS = 10_000, 100_000
+
 
 def spreads(df: DataFrame, numbers: list[str]) -> DataFrame:
     """One row: max - min of every number column."""
@@ -25,10 +28,20 @@ def distance(numbers: list[str], texts: list[str], flags: list[str], a: str = "a
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, numbers: list[str], texts: list[str], flags: list[str], k: int, key: str) -> DataFrame:
-    """The k nearest candidates of each query; ties by key. queries is a stated, bounded set, sent to
-    where candidates are read; each partition's best are kept before any exchange."""
+    """The k nearest candidates of each query; ties by key. queries is a stated set, searched exactly against all
+    candidates in blocks: while its counted rows are few it is sent to where candidates are read; beyond, blocks of queries
+    meet blocks of candidates by key. Each partition's best are kept before any further exchange."""
     span = spreads(candidates, numbers).select(F.struct("*").alias("spread"))
-    met = candidates.select(F.struct("*").alias("b")).crossJoin(F.broadcast(queries.select(F.struct("*").alias("a")))).crossJoin(F.broadcast(span))
+    asked, n = queries.select(F.struct("*").alias("a")), queries.count()
+    offered = candidates.select(F.struct("*").alias("b"))
+    if n <= MOST_SENT:
+        met = offered.crossJoin(F.broadcast(asked))
+    else:
+        groups, blocks = -(-n // MOST_SENT), max(1, -(-candidates.count() // BLOCK_ROWS))
+        asked = asked.withColumn("q", F.pmod(F.xxhash64(f"a.{key}"), F.lit(groups))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        offered = offered.withColumn("c", F.pmod(F.xxhash64(f"b.{key}"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        met = offered.join(asked, ["q", "c"])
+    met = met.crossJoin(F.broadcast(span))  # one row
     scored = met.select(F.col(f"a.{key}").alias("query"), F.col(f"b.{key}").alias("neighbour"), F.round(distance(numbers, texts, flags), 9).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

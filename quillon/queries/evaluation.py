@@ -133,12 +133,18 @@ def funnel(spark, sf_dir):
     return datasets.funnel(df, [("excluded", F.coalesce("held", F.lit(False))), ("duplicate", F.col("doc_id") != F.col("first")), ("short", F.col("n_chars") < 100)])
 
 
-@query("SELECT o_orderstatus AS origin, sha256(string_agg(o_orderkey || '|' || o_orderpriority, chr(10) ORDER BY o_orderkey)) AS digest FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1")
+@query("SELECT o_orderstatus AS origin, sha256(string_agg(o_orderkey || '|' || o_orderpriority, chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1")
 def ordered_digest(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").withColumn("line", F.concat_ws("|", "o_orderkey", "o_orderpriority"))
+    o = table(spark, sf_dir, "orders").withColumn("line", F.concat_ws("|", "o_orderkey", "o_orderpriority"))
     return o.groupBy(F.col("o_orderstatus").alias("origin")).agg(evaluate.ordered_digest("o_orderkey", "line").alias("digest"))
 
 
+@query("WITH o AS (SELECT o_orderstatus AS origin, o_orderkey || '|' || o_orderpriority AS line, o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 1000 AS block FROM orders), b AS (SELECT origin, block, sha256(string_agg(line, chr(10) ORDER BY o_orderkey)) AS d FROM o GROUP BY ALL) SELECT origin, sha256(string_agg(d, chr(10) ORDER BY block)) AS digest FROM b GROUP BY 1")
+def block_digest(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("line", F.concat_ws("|", "o_orderkey", "o_orderpriority")).withColumn("origin", F.col("o_orderstatus"))
+    return evaluate.block_digest(o, "origin", "o_orderkey", "line", 1000)
+
+
 @query("WITH r AS (SELECT user_id, ts, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spent FROM events) SELECT user_id, count(*) FILTER (WHERE spent <= 500) AS allowed, count(*) FILTER (WHERE spent > 500) AS refused FROM r GROUP BY user_id")
 def spend_cap(spark, sf_dir):
     from pyspark.sql import Window

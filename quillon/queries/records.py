@@ -64,10 +64,10 @@ def json_diff_paths(spark, sf_dir):
 _WORDS = "list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'))"
 
 
-@query("WITH w AS (SELECT a.doc_id, " + _WORDS.format(c="a.text") + " AS x, " + _WORDS.format(c="b.text") + " AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 20 = 0) SELECT doc_id, round(1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS distance FROM w")
+@query("WITH w AS (SELECT a.doc_id, " + _WORDS.format(c="a.text") + " AS x, " + _WORDS.format(c="b.text") + " AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, round(1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS distance FROM w")
 def jaccard_words(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    j = d.alias("a").where("doc_id % 20 = 0").join(d.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1)
+    j = d.alias("a").join(d.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1)
     return j.select(F.col("a.doc_id").alias("doc_id"), F.round(X.jaccard_distance(X.word_set(F.col("a.text")), X.word_set(F.col("b.text"))), 6).alias("distance"))
 
 
@@ -77,9 +77,9 @@ def utf16_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(X.utf16_length(t)).alias("units"), F.count_if(X.pointer_token(t) != t).alias("escaped"))
 
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, true AS strict FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, true AS strict FROM events")
 def strict_json(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), json_records.strict_column(F.col("props")).alias("strict"))
 
 
@@ -205,9 +205,9 @@ def coverage_brief(spark, sf_dir):
     return generate.coverage_brief(spark.range(500).withColumnRenamed("id", "row_id"), "row_id", SUPPORT, 6)
 
 
-@query(f"WITH {CASES}, x AS (SELECT case_id, status, expected FROM labelled WHERE case_id % 4 = 0) SELECT case_id, status, 'row' AS origin FROM x UNION ALL SELECT case_id, CASE WHEN status = 'paid' THEN 'fraudulent' ELSE 'paid' END, 'twin' FROM x")
+@query(f"WITH {CASES}, x AS (SELECT case_id, status, expected FROM labelled) SELECT case_id, status, 'row' AS origin FROM x UNION ALL SELECT case_id, CASE WHEN status = 'paid' THEN 'fraudulent' ELSE 'paid' END, 'twin' FROM x")
 def stale_status_twins(spark, sf_dir):
-    x = ruled(spark, sf_dir).where("case_id % 4 = 0").select("case_id", "status")
+    x = ruled(spark, sf_dir).select("case_id", "status")
     twin = x.withColumn("status", F.when(F.col("status") == "paid", "fraudulent").otherwise("paid"))
     return datasets.union_all(("row", x), ("twin", twin))
 
@@ -231,12 +231,12 @@ def observation_events(spark, sf_dir):
     return streams.observations(calls).groupBy("event").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CASES} SELECT case_id, CASE WHEN age_days % 2 = 0 THEN 'yes' ELSE 'no' END AS answer FROM cases WHERE case_id % 10 = 0")
+@query(f"WITH {CASES} SELECT case_id, CASE WHEN age_days % 2 = 0 THEN 'yes' ELSE 'no' END AS answer FROM cases")
 def stub_answers(spark, sf_dir):
     from quillon.sources.tables import answered_by
 
     answers = spark.createDataFrame([(i, "yes") for i in range(0, 120, 2)], "age_days long, answer string")
-    return answered_by(ruled(spark, sf_dir).where("case_id % 10 = 0"), ["age_days"], answers, "no").select("case_id", "answer")
+    return answered_by(ruled(spark, sf_dir), ["age_days"], answers, "no").select("case_id", "answer")
 
 
 @query(f"WITH {CASES} SELECT case_id, expected AS label, true AS replaced FROM labelled WHERE expected <> CASE WHEN case_id % 2 = 0 THEN 'deny' ELSE 'approve' END")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the session's checkpoint folder; a temporary one is set only where none is (one machine)."""
+    """df, computed once into the session's checkpoint folder; a temporary one is set only where none is and all runs in one process."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not context.getConf().get("spark.checkpoint.dir") and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quillon-"))
     return df.checkpoint()

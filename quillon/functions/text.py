@@ -152,3 +152,35 @@ def bytes_text(n: Column) -> Column:
         return F.concat(F.format_string("%.1f", n / F.lit(float(1024**power))), F.lit(f" {name}"))
 
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1, "KiB")).when(n < 1024**3, unit(2, "MiB")).otherwise(unit(3, "GiB"))
+
+
+def path_steps(path: str) -> list[str]:
+    """The steps of a JSON Pointer."""
+    return [s.replace("~1", "/").replace("~0", "~") for s in path.split("/")[1:]]
+
+
+def json_get(value: Column, path: str) -> Column:
+    """The text at a JSON Pointer of a JSON text; null where there is nothing."""
+    steps = "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in path_steps(path))
+    return F.try_variant_get(F.try_parse_json(value), F.lit("$" + steps), "string")
+
+
+def field_set(record: Column, path: str, new: Column) -> Column:
+    """A struct with the field at a JSON Pointer replaced (or added at the last step)."""
+    step, *rest = path_steps(path)
+    inner = field_set(record[step], "/" + "/".join(s.replace("~", "~0").replace("/", "~1") for s in rest), new) if rest else new
+    return record.withField(f"`{step}`", inner)
+
+
+def json_equal(a: Column, b: Column) -> Column:
+    """Whether two JSON texts hold the same value: key order and spelling of numbers don't count, kinds do. A text that is no JSON equals none."""
+    x, y = (F.to_json(F.try_parse_json(c)) for c in (a, b))
+    return F.coalesce(x == y, F.lit(False))
+
+
+def first_available(*choices: tuple[str, Column]) -> Column:
+    """(source, value) of the first choice that isn't null."""
+    out = F.struct(F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("value"))
+    for name, value in reversed(choices):
+        out = F.when(value.isNotNull(), F.struct(F.lit(name).alias("source"), value.cast("double").alias("value"))).otherwise(out)
+    return out

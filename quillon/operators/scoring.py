@@ -117,3 +117,18 @@ def in_stages(df: DataFrame, stages: list[dict]) -> DataFrame:
     for stage in stages:
         df = df.withColumns({name: make(df) for name, make in stage.items()})
     return df
+
+
+def fused_stage(calls: DataFrame, functions: DataFrame, encode, adapt, head) -> tuple[DataFrame, DataFrame]:
+    """One stage of many functions over shared passes. calls: call, function, input; functions: function, encoder, adapter.
+    encode(rows of encoder, input) adds `encoded`, one pass for each distinct input of an encoder; adapt(rows of encoder, adapter,
+    input, encoded) adds `adapted`, one for each distinct input of an adapter (a null adapter hands on what is encoded);
+    head(rows of call, function, adapted) adds `output`. Returns (call, function, output) and one row of passes."""
+    routed = calls.join(functions, "function")  # a function without a route has no output
+    key = ["encoder", "input"]
+    encoded = score_distinct(routed, key, encode)
+    plain, with_adapter = encoded.where(F.col("adapter").isNull()).withColumn("adapted", F.col("encoded")), encoded.where(F.col("adapter").isNotNull())
+    adapted = score_distinct(with_adapter, ["encoder", "adapter", "input", "encoded"], adapt).unionByName(plain)
+    out = head(adapted.select("call", "function", "adapted")).select("call", "function", "output")
+    passes = routed.agg(F.count_distinct("encoder", "input").alias("encodings"), F.count_distinct("encoder", "adapter", "input").alias("adaptations"), F.count("*").alias("heads"))
+    return out, passes

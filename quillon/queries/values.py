@@ -146,3 +146,36 @@ def staged_plan(spark, sf_dir):
         {"turn": lambda d: F.when((d["desk"] == "senior") & (d["o_orderpriority"] == "1-URGENT"), "now").otherwise("later")},
     ]
     return scoring.in_stages(table(spark, sf_dir, "orders"), stages).select("o_orderkey", "large", "desk", "turn")
+
+
+_TEXT = "CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '[' || props || ',1e3,null]' WHEN 2 THEN '{\"a\":1,\"a\":2}' WHEN 3 THEN '[NaN]' WHEN 4 THEN repeat('[', 40) || repeat(']', 40) ELSE chr(65279) || '1' END"
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 2 THEN 'a key is repeated' WHEN 3 THEN 'NaN is no JSON number' WHEN 4 THEN 'too deep or too many values' WHEN 5 THEN 'a byte order mark' END AS fault FROM events")
+def strict_scan(spark, sf_dir):
+    from quillon.sources import json_records
+
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_TEXT.replace("chr(65279)", "'\ufeff'")).alias("body"))
+    return json_records.strict_rows(e, "body", most_depth=20).select("event_id", "fault")
+
+
+_CALLS = "c AS (SELECT p_partkey AS call, 'f' || p_size % 5 AS function, p_type AS input FROM part), f AS (SELECT * FROM (VALUES ('f0', 'e0', NULL), ('f1', 'e0', 'a1'), ('f2', 'e0', 'a1'), ('f3', 'e1', 'a2'), ('f4', 'e1', NULL)) AS t(function, encoder, adapter))"
+
+
+def _stage(spark, sf_dir):
+    calls = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("call"), F.concat(F.lit("f"), (F.col("p_size") % 5).cast("string")).alias("function"), F.col("p_type").alias("input"))
+    functions = spark.createDataFrame([("f0", "e0", None), ("f1", "e0", "a1"), ("f2", "e0", "a1"), ("f3", "e1", "a2"), ("f4", "e1", None)], "function string, encoder string, adapter string")
+    encode = lambda d: d.withColumn("encoded", F.length("input") + F.when(F.col("encoder") == "e0", 1).otherwise(2))
+    adapt = lambda d: d.withColumn("adapted", F.col("encoded") * F.when(F.col("adapter") == "a1", 10).otherwise(100))
+    head = lambda d: d.withColumn("output", F.col("adapted") + F.substring("function", 2, 1).cast("int"))
+    return scoring.fused_stage(calls, functions, encode, adapt, head)
+
+
+@query(f"WITH {_CALLS} SELECT call, function, CAST((len(input) + CASE encoder WHEN 'e0' THEN 1 ELSE 2 END) * CASE WHEN adapter IS NULL THEN 1 WHEN adapter = 'a1' THEN 10 ELSE 100 END + CAST(function[2] AS INTEGER) AS INTEGER) AS output FROM c JOIN f USING (function)")
+def shared_passes(spark, sf_dir):
+    return _stage(spark, sf_dir)[0]
+
+
+@query(f"WITH {_CALLS} SELECT count(DISTINCT (encoder, input)) AS encodings, count(DISTINCT (encoder, adapter, input)) FILTER (WHERE adapter IS NOT NULL) AS adaptations, count(*) AS heads FROM c JOIN f USING (function)")
+def pass_counts(spark, sf_dir):
+    return _stage(spark, sf_dir)[1]

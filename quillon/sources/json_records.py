@@ -18,8 +18,18 @@ class StrictJsonError(ValueError):
     pass
 
 
-def strict_loads(text: str, most_depth: int = 100, most_nodes: int = 100_000):
-    """JSON without duplicate keys, NaN, infinities, overflow or unpaired surrogates, within limits."""
+def strict_loads(text: str | bytes, most_depth: int = 100, most_nodes: int = 100_000, most_bytes: int = 64 << 20):
+    """JSON in UTF-8 without a byte order mark, duplicate keys, NaN, infinities, overflow or unpaired surrogates, within limits."""
+    try:
+        data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+        if len(data) > most_bytes:
+            raise StrictJsonError(f"more than {most_bytes} bytes")
+        if data.startswith(b"\xef\xbb\xbf"):
+            raise StrictJsonError("a byte order mark")
+        text = data.decode("utf-8", "surrogatepass" if isinstance(text, str) else "strict")
+    except UnicodeDecodeError as e:
+        raise StrictJsonError("not UTF-8") from e
+
     def pairs(items):
         out = dict(items)
         if len(out) != len(items):
@@ -60,6 +70,31 @@ def strict_loads(text: str, most_depth: int = 100, most_nodes: int = 100_000):
     return value
 
 
+def strict_rows(df: DataFrame, text: str, most_depth: int = 100, most_nodes: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """df with `fault`: why a row's JSON text isn't strict, null where it is; a null text is a fault of its own. Checked where rows are read."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    schema = T.StructType([*df.schema.fields, T.StructField("fault", T.StringType())])
+    at = df.columns.index(text)
+
+    def fault(value: str | None) -> str | None:
+        if value is None:
+            return "no text"
+        try:
+            strict_loads(value, most_depth, most_nodes, most_bytes)
+        except StrictJsonError as e:
+            return str(e)
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fault(v) for v in b.column(at).to_pylist()], pa.string())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON file (or many) of the given schema; a malformed record stops the job."""
     return spark.read.json(path, schema=schema, multiLine=True, mode="FAILFAST")

@@ -41,8 +41,17 @@ SPAN = "struct<kind:string,start:int,end:int,value:string>"
 FOLDED = 256
 
 
+def bound(value: Column, make) -> Column:
+    """make(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def folded(items: Column, state: Column, step, kind: str) -> Column:
     """What step(state, item) -> (state, array of `kind`) gives for each item, one after the other."""
+    return bound(items, lambda its: _folded(its, state, step, kind))
+
+
+def _folded(items: Column, state: Column, step, kind: str) -> Column:
     none = F.array().cast(f"array<{kind}>")
 
     def block(acc: Column, at: Column) -> Column:
@@ -51,7 +60,7 @@ def folded(items: Column, state: Column, step, kind: str) -> Column:
             return F.struct(now.alias("state"), F.concat(inner["out"], out).alias("out"))
 
         got = F.aggregate(F.slice(items, at * FOLDED + 1, F.lit(FOLDED)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
-        return F.struct(got["state"].alias("state"), F.array_append(acc["blocks"], got["out"]).alias("blocks"))
+        return bound(got, lambda g: F.struct(g["state"].alias("state"), F.array_append(acc["blocks"], g["out"]).alias("blocks")))
 
     blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLDED).cast("int"))
     start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("blocks"))
@@ -60,15 +69,19 @@ def folded(items: Column, state: Column, step, kind: str) -> Column:
 
 def located(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Every match of a pattern with its place in code points; only those for which keep(value) holds."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def add(at: Column, pair: Column) -> tuple[Column, Column]:
         start = at + F.length(pair["0"])
         end = start + F.length(pair["1"])
         span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["1"].alias("value")))
-        return end, span if keep is None else F.when(keep(pair["1"]), span).otherwise(F.array().cast(f"array<{SPAN}>"))
+        return end, span if keep is None else F.when(keep(pair["1"]), span).otherwise(none)
+
+    def of(found: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("0"), found.alias("1"))
+        return F.when(F.size(found) > 0, folded(pairs, F.lit(0), add, SPAN)).otherwise(none)
 
-    return folded(F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("0"), found.alias("1")), F.lit(0), add, SPAN)
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
 def digits(value: Column) -> Column:
@@ -113,15 +126,19 @@ def beside(text: Column, span: Column) -> Column:
     """The nearest words on either side of a span. They are looked for in a few characters, of which a word that may be cut is
     left out; where these hold too few, in all of the text on that side."""
     near, most = F.lit(CONTEXT_CHARS), F.lit(CONTEXT_WORDS)
-    left = lower_terms(F.substring(text, F.greatest(F.lit(1), span["start"] - near + 1), F.least(near, span["start"])))
-    left = F.when(span["start"] <= near, left).otherwise(F.slice(left, F.lit(2), F.greatest(F.lit(0), F.size(left) - 1)))
-    left = F.when((span["start"] <= near) | (F.size(left) >= most), left).otherwise(lower_terms(F.substring(text, F.lit(1), span["start"])))
-    right = lower_terms(F.substring(text, span["end"] + 1, near))
-    ends = span["end"] + near >= F.length(text)
-    right = F.when(ends, right).otherwise(F.slice(right, F.lit(1), F.greatest(F.lit(0), F.size(right) - 1)))
-    right = F.when(ends | (F.size(right) >= most), right).otherwise(lower_terms(F.substring(text, span["end"] + 1, F.length(text))))
-    last = F.greatest(F.lit(0), F.size(left) - most)
-    return F.concat(F.slice(left, last + 1, most), F.slice(right, F.lit(1), most))
+    begins, ends = span["start"] <= near, span["end"] + near >= F.length(text)
+
+    def words_of(window: Column, whole: Column, complete: Column, cut, pick) -> Column:
+        enough = lambda ws: F.when(complete | (F.size(cut(ws)) >= most), pick(F.when(complete, ws).otherwise(cut(ws))))
+        return F.coalesce(bound(lower_terms(window), enough), bound(lower_terms(whole), pick))
+
+    rest = lambda ws: F.greatest(F.lit(0), F.size(ws) - 1)
+    left = words_of(
+        F.substring(text, F.greatest(F.lit(1), span["start"] - near + 1), F.least(near, span["start"])), F.substring(text, F.lit(1), span["start"]), begins,
+        lambda ws: F.slice(ws, F.lit(2), rest(ws)), lambda ws: F.slice(ws, F.greatest(F.lit(0), F.size(ws) - most) + 1, most),
+    )
+    right = words_of(F.substring(text, span["end"] + 1, near), F.substring(text, span["end"] + 1, F.length(text)), ends, lambda ws: F.slice(ws, F.lit(1), rest(ws)), lambda ws: F.slice(ws, F.lit(1), most))
+    return F.concat(left, right)
 
 
 def entities(span: Column) -> Column:

@@ -8,6 +8,7 @@ so they may be in any store that Spark writes.
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,10 @@ class Store:
         self.fs.delete(self._path(f"{self.root}/{name}"), False)
         self.rename(f"{name}.tmp", name)
 
+    def claim(self, name: str) -> bool:
+        """Make an empty file, if nobody else has: one of several callers gets True."""
+        return self.fs.createNewFile(self._path(f"{self.root}/{name}"))
+
     def get(self, name: str):
         rows = self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()
         return json.loads(rows[0]["value"])
@@ -84,11 +89,22 @@ def unseal(store: Store, name: str) -> DataFrame:
     return df
 
 
-def cached(store: Store, request: dict, make) -> DataFrame:
-    """The table of a request: read where it was made before, made and sealed otherwise."""
+def cached(store: Store, request: dict, make, patience: float = 3600.0) -> DataFrame:
+    """The table of a request: read where it was made before, made and sealed otherwise. Of several callers one makes it, under a
+    lock; the others wait for it, `patience` seconds at most."""
     name = "key=" + cache_key("cache", request)
-    if not store.exists(name):
-        seal(store, name, make())
+    until = time.monotonic() + patience
+    while not store.exists(name):
+        if store.claim(name + ".lock"):
+            try:
+                if not store.exists(name):
+                    seal(store, name, make())
+            finally:
+                store.remove(name + ".lock")
+        elif time.monotonic() > until:
+            raise SealError(f"{name} is being made by somebody else")
+        else:
+            time.sleep(0.2)
     return unseal(store, name)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +43,17 @@ def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
 
 
 class Watched:
-    """A value behind a pointer file, reloaded when the file changes; between changes it is the same object."""
+    """What a pointer points at, loaded anew when the pointer has changed and then stayed as it is for `settle` seconds, so that a
+    burst of changes is one load. What is loaded takes the place of the former in one step; if loading fails, that stays."""
 
-    def __init__(self, modified, load):
-        self.modified, self.load, self.seen, self.value = modified, load, None, None
+    def __init__(self, modified, load, settle: float = 0.0, now=time.monotonic):
+        self.modified, self.load, self.settle, self.now = modified, load, settle, now
+        self.seen, self.changed_at, self.version, self.value = None, 0.0, None, None
 
     def get(self):
-        now = self.modified()
-        if now != self.seen:
-            self.value, self.seen = self.load(), now
+        version = self.modified()
+        if version != self.seen:
+            self.seen, self.changed_at = version, self.now()
+        if version != self.version and (self.version is None or self.now() - self.changed_at >= self.settle):
+            self.value, self.version = self.load(), version
         return self.value

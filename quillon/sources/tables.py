@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,17 @@ class Store:
 
     def claim(self, name: str) -> bool:
         """Make an empty file, if nobody else has: one of several callers gets True."""
-        return self.fs.createNewFile(self._path(f"{self.root}/{name}"))
+        path = self._path(f"{self.root}/{name}")
+        self.fs.mkdirs(path.getParent())
+        if self.fs.getScheme() == "file":  # Hadoop looks before it creates there; the operating system does both at once
+            return self.spark.sparkContext._jvm.java.io.File(path.toUri().getPath()).createNewFile()
+        try:
+            self.fs.create(path, False).close()
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
 
     def get(self, name: str):
         rows = self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()

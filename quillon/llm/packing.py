@@ -35,8 +35,8 @@ from quillon.llm.text import SPACE
 WINDOW, END_ID = 4096, 2
 #: Queues that one service serves; more are served in blocks of neighbours, whose own services share what a block is served.
 BLOCK_QUEUES = 256
-#: Spreads the queues' phases.
-GOLDEN = 0.6180339887498949
+#: Spreads the queues' phases where they are more than a few.
+GOLDEN, FEW_QUEUES = 0.6180339887498949, 32
 #: Rows of (partition, queue) sums up to which they are broadcast; beyond, they are joined by key.
 SUMS_BROADCAST = 200_000
 #: Bytes of text tokenized at once; bytes of the longest part of a word that is merged in arrays; other words remembered.
@@ -293,7 +293,8 @@ class Service:
     def __init__(self, totals: list[int], rates: list[float], window: int = 1):
         self.totals, self.window = np.array(totals, dtype=np.int64), window
         self.rates = np.array(rates, dtype=np.float64)
-        self.phase = (0.5 + np.arange(len(totals)) * GOLDEN) % 1.0
+        spread = len(totals) > FEW_QUEUES  # few can't all have their turn at once; a phase of 1/2 keeps each nearest its share
+        self.phase = (0.5 + np.arange(len(totals)) * GOLDEN * spread) % 1.0
         self.end = float(((self.totals + 1) / self.rates).max()) + 1.0
 
     def served(self, v: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from quillon.functions import text as X
 from quillon.operators import datasets, evaluate, generate, rules, workflow
 from quillon.queries.cases import CASES, SCORED, SUPPORT, policy, ruled, scored, table
 from quillon.queries.registry import query
+from quillon.sources.shared import checkpointed
 
 _LOSS = "(p_a * p_a + p_d * p_d + p_r * p_r - 2 * p_y + 1) / 2"
 
@@ -143,7 +144,7 @@ def decided_sample(spark, sf_dir):
 
 @query()
 def explained_calls(spark, sf_dir):
-    calls = scored(spark, sf_dir).select("case_id", "age_days", "prior", "total", "status", "tier", F.col("diagnostic.value").alias("value"))
+    calls = checkpointed(scored(spark, sf_dir).select("case_id", "age_days", "prior", "total", "status", "tier", F.col("diagnostic.value").alias("value")))
     out = workflow.explained(calls.where("case_id % 20 = 0"), calls, policy(), SUPPORT, "value", ["age_days", "prior", "total"], ["status", "tier"], 3, "case_id")
     return out.select("query", "value", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("active", "violated", "nearest")])
 

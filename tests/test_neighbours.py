@@ -1,9 +1,12 @@
 """explain.nearest by cells against all pairs."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import catalog
 from quillon.operators import explain, neighbours
 
 
@@ -44,11 +47,9 @@ def test_cells_find_what_all_pairs_have(spark, monkeypatch, seed):
 
 
 def test_copies_meet_once(spark, monkeypatch):
-    """Groups of 2,000 copies, asked for 4,000 times: comparisons are of vectors, not of rows."""
+    """Groups of 2,000 copies, asked for 4,000 times: pairs of rows are never made."""
     df = spark.range(8000).select("id", (F.col("id") % 4).cast("int").alias("x"), F.lit("s").alias("s"))
-    met = []
-    real = neighbours.Space.distances
-    monkeypatch.setattr(neighbours.Space, "distances", lambda self, a, b: met.append(1) or real(self, a, b))
+    monkeypatch.setattr(explain, "in_pairs", None)
     got = explain.nearest(df.where("id % 2 = 0"), df, ["x"], [], ["s"], 3, "id")
     assert got.count() == 12_000
     assert {tuple(r) for r in got.where("query = 7000").select("neighbour", "distance", "rank").collect()} == {(0, 0.0, 1), (4, 0.0, 2), (8, 0.0, 3)}
@@ -79,3 +80,13 @@ def test_what_cells_do_not_hold_goes_by_pairs(spark):
     big = spark.createDataFrame([(1, 1 << 60, "a"), (2, (1 << 60) + 1, "a"), (3, 0, "b")], "id long, x long, s string")
     assert explain.by_cells(big, big, ["x"], ["s"], 2, "id") is None
     assert explain.nearest(big, big, ["x"], [], ["s"], 2, "id").count() == 6
+
+
+def test_explained_calls_makes_no_pairs(spark, monkeypatch):
+    """sf0.001 has 75 x 1,500 pairs; explained_calls makes them neither there nor on larger tables."""
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the test tables aren't there")
+    monkeypatch.setattr(explain, "in_pairs", None)
+    got = catalog.QUERIES["explained_calls"](spark, data).collect()
+    assert got and all(len(r["nearest"].split(",")) == 3 for r in got)

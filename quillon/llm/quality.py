@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, drawn, durable, fresh, small, table
+from quillon.llm.common import discard, drawn, durable, fresh, release, small, table
 from quillon.llm.fit import Logistic
 
 #: Expected labelled rows that the fit reads, rounds, rows that a view hands over in a round for each class, on average.
@@ -139,6 +139,16 @@ def metadata_matrix(source: np.ndarray, lang: np.ndarray, stated: np.ndarray) ->
     return out
 
 
+def buckets(kind: str, values: pa.Array) -> list[int]:
+    return [bucket(kind, v) for v in values.to_pylist()]
+
+
+def view_columns(docs: DataFrame) -> list[Column]:
+    """What the views read: text, source, lang, stated length; null where docs has no such column."""
+    pick = lambda name, kind: (F.col(name) if name in docs.columns else F.lit(None)).cast(kind)
+    return [F.col("text"), pick("source", "string"), pick("lang", "string"), pick("n_chars", "double")]
+
+
 def viewed(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Each row's `keep` columns and its two views: the text's statistics, and the metadata in short."""
     from pyspark.sql import types as T
@@ -146,8 +156,7 @@ def viewed(docs: DataFrame, keep: list[str]) -> DataFrame:
     names = fresh(docs, *VIEW_NAMES)
     fields = [T.StructField(names[0], T.ArrayType(T.DoubleType())), T.StructField(names[1], T.IntegerType()), T.StructField(names[2], T.IntegerType()), T.StructField(names[3], T.DoubleType())]
     schema = T.StructType([*docs.select(*keep).schema.fields, *fields])
-    pick = lambda name, kind: (F.col(name) if name in docs.columns else F.lit(None)).cast(kind)
-    asked = [F.col("text").alias(names[0]), pick("source", "string").alias(names[1]), pick("lang", "string").alias(names[2]), pick("n_chars", "double").alias(names[3])]
+    asked = [c.alias(name) for c, name in zip(view_columns(docs), names, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -155,8 +164,9 @@ def viewed(docs: DataFrame, keep: list[str]) -> DataFrame:
                 b = whole.slice(lo, 512)
                 text, source, lang, stated = (b.column(len(keep) + i) for i in range(4))
                 x1 = pa.array([text_view(t or "") for t in text.to_pylist()], pa.list_(pa.float64()))
-                numbers = [pa.array([bucket(kind, v) for v in values.to_pylist()], pa.int32()) for kind, values in (("source", source), ("lang", lang))]
+                numbers = [pa.array(buckets(kind, values), pa.int32()) for kind, values in (("source", source), ("lang", lang))]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), x1, *numbers, stated], names=schema.names)
+        release()
 
     return docs.select(*keep, *asked).mapInArrow(run, schema)
 
@@ -282,10 +292,27 @@ def scored(views: DataFrame, model: CoTrained, name: str = "score") -> DataFrame
     return views.mapInArrow(run, schema)
 
 
+def scorer(model: CoTrained):
+    """A function of view_columns that gives the score."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for whole in batches:
+            out = []
+            for lo in range(0, len(whole[0]), 512):
+                text, source, lang, stated = (x.slice(lo, 512) for x in whole)
+                x1 = np.array([text_view(t or "") for t in text.to_pylist()])
+                x2 = metadata_matrix(np.array(buckets("source", source)), np.array(buckets("lang", lang)), stated.to_numpy(zero_copy_only=False))
+                out.append(model.score(x1, x2))
+            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        release()
+
+    return F.arrow_udf(run, "double")
+
+
 def kept(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The documents, columns as they are and whatever their names, that score keep_from or more."""
-    columns, (name,) = docs.columns, fresh(docs, "score")
-    return score(docs, train(docs, labels), columns, name).where(F.col(name) >= keep_from).select(*columns)
+    """The documents, columns as they are and whatever their names, that score keep_from or more. Python gets what the views
+    read, each text once, and gives back scores; the rows themselves stay in Spark."""
+    return docs.where(scorer(train(docs, labels))(*view_columns(docs)) >= keep_from)
 
 
 def op10_quality(spark, sf_dir):
